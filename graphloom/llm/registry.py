@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from graphloom.llm import mpegaudio, urlfilter, warc
+from graphloom.llm import mpegaudio, pivotindex, simhash, urlfilter, warc
 
 QUERIES = {
+    "op1_simhash": simhash.op1_simhash,
     "op2_mpegaudio": mpegaudio.op2_mpegaudio,
+    "op7_pivotindex": pivotindex.op7_pivotindex,
     "op8_urlfilter": urlfilter.op8_urlfilter,
     "op9_warc": warc.op9_warc,
     "pipeline": corpus_pipeline.run,
