@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from graphloom.llm import mpegaudio, pivotindex, simhash, urlfilter, warc
+from graphloom.llm import langid, mpegaudio, pivotindex, simhash, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_mpegaudio": mpegaudio.op2_mpegaudio,
+    "op3_langid": langid.op3_langid,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op7_pivotindex": pivotindex.op7_pivotindex,
     "op8_urlfilter": urlfilter.op8_urlfilter,
     "op9_warc": warc.op9_warc,
