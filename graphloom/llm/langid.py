@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.arrowio import HELD, arrow_schema, batch, in_fold, replaced
+from graphloom.llm.arrowio import HELD, arrow_schema, batch, in_fold, replaced_batches
 from graphloom.llm.shared import stored
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -28,8 +28,8 @@ PART = 32
 #: Probability of a letter that no piece covers, and what is added to each expected count.
 UNKNOWN, ADDED = 1e-7, 0.05
 ROUNDS = 2
-#: Words whose likelihoods a task keeps.
-CACHE = 400_000
+#: Words whose likelihoods a worker keeps, and words looked up at a time.
+CACHE, PIECE = 500_000, 1 << 16
 
 
 def vocabulary(name: str = VOCABULARY) -> list[str]:
@@ -50,51 +50,68 @@ def words(text: str | None) -> list[str]:
 
 
 class Pieces:
-    """Where pieces occur in a word."""
+    """Where pieces occur in words, and sums over all segmentations of many words at once."""
 
     def __init__(self, pieces: list[str]):
-        self.number = {p: i for i, p in enumerate(pieces)}
-        self.longest = max(map(len, pieces), default=1)
+        self.number = {q: -1 for p in pieces for q in (p[:n] for n in range(1, len(p)))}
+        self.number |= {p: i for i, p in enumerate(pieces)}
+        self.unknown = len(pieces)
 
-    def edges(self, word: str) -> list[tuple[int, int, int]]:
-        """(from, to, piece) of all pieces in "▁" + word in order of their start; -1 for a letter that no one-letter piece covers.
+    def edges(self, words: list[str]) -> tuple[np.ndarray, ...]:
+        """(word, from, to, piece) of all pieces in "▁" + word, in order of their ends and words, and the words' lengths.
 
-        The mark alone may be passed over, so that a word's start may also be cut as its inside is.
+        A letter that no one-letter piece covers is the piece ``unknown``, and so is the mark, so that a word's
+        start may also be cut as its inside is.
         """
-        w, get, out = "▁" + word, self.number.get, []
-        for i in range(len(w)):
-            for j in range(i + 1, min(len(w), i + self.longest) + 1):
-                if (k := get(w[i:j])) is not None:
-                    out.append((i, j, k))
-                elif j == i + 1:
-                    out.append((i, j, -1))
+        get, unknown, out = self.number.get, self.unknown, []
+        for x, word in enumerate(words):
+            w = "▁" + word
+            n = len(w)
+            for i in range(n):
+                j = i + 1
+                k = get(w[i:j])
+                out.append((x, i, j, unknown if k is None or k < 0 else k))
+                while k is not None and j < n:
+                    j += 1
+                    k = get(w[i:j])
+                    if k is not None and k >= 0:
+                        out.append((x, i, j, k))
+        x, i, j, k = np.array(out, np.int64).T
+        order = np.lexsort((x, j))
+        return x[order], i[order], j[order], k[order], np.fromiter(map(len, words), np.int64, len(words)) + 1
+
+    def forward(self, edges: tuple, p: np.ndarray) -> np.ndarray:
+        """[word, place, …]: the summed probabilities of all segmentations up to each place; p has a row for each edge."""
+        x, i, j, _, n = edges
+        out = np.zeros((len(n), n.max() + 1, *p.shape[1:]))
+        out[:, 0] = 1
+        ends = np.searchsorted(j, np.arange(1, n.max() + 2))
+        for at in range(n.max()):
+            own = slice(ends[at], ends[at + 1])
+            first = np.flatnonzero(np.diff(x[own], prepend=-1))
+            if len(first):
+                out[x[own][first], at + 1] = np.add.reduceat(out[x[own], i[own]] * p[own], first)
         return out
 
-
-def likelihoods(edges: list[tuple[int, int, int]], p: np.ndarray) -> np.ndarray:
-    """log of the summed probabilities of all segmentations, per language; p has a row for each piece, the last for unknown letters."""
-    forward = np.zeros((edges[-1][1] + 1, p.shape[1]))
-    forward[0] = 1
-    for i, j, k in edges:
-        forward[j] += forward[i] * p[k]
-    return np.log(forward[-1])
-
-
-def expected(edges: list[tuple[int, int, int]], p: list[float], n: float, into: dict[int, float]) -> None:
-    """Adds n times the expected counts of pieces in a word of one language."""
-    last = edges[-1][1]
-    forward, backward = [1.0] + [0.0] * last, [0.0] * last + [1.0]
-    for i, j, k in edges:
-        forward[j] += forward[i] * p[k]
-    for i, j, k in reversed(edges):
-        backward[i] += p[k] * backward[j]
-    scale = n / forward[last]
-    for i, j, k in edges:
-        if k >= 0:
-            into[k] = into.get(k, 0.0) + forward[i] * p[k] * backward[j] * scale
-
-
-@dataclass(frozen=True)
+    def likelihoods(self, words: list[str], p: np.ndarray) -> np.ndarray:
+        """[word, language]: log of the summed probabilities; p has a row for each piece, the last for unknown letters."""
+        edges = self.edges(words)
+        return np.log(self.forward(edges, p[edges[3]])[np.arange(len(words)), edges[4]])
+
+    def expected(self, words: list[str], counts: np.ndarray, p: Callable) -> tuple[np.ndarray, ...]:
+        """(word, piece, expected count) of every edge for words that occur ``counts`` times; ``p`` gives the edges' probabilities."""
+        x, i, j, k, n = edges = self.edges(words)
+        q = p(x, k)
+        forward = self.forward(edges, q)
+        # backward sums are forward sums of the mirrored edges
+        order = np.lexsort((x, n[x] - i))
+        mirrored = (x[order], (n[x] - j)[order], (n[x] - i)[order], k[order], n)
+        backward = self.forward(mirrored, q[order])
+        share = forward[x, i] * q * backward[x, n[x] - j] * (counts / forward[np.arange(len(n)), n])[x]
+        return x, k, share
+
+
+@dataclass
 class LanguageModel:
     """languages in order, their log priors, the pieces, and a row of probabilities for each piece and one for unknown letters."""
 
@@ -103,30 +120,31 @@ class LanguageModel:
     pieces: list[str]
     p: np.ndarray
 
-    def predictor(self) -> Callable[[str | None], tuple[str, float]]:
-        """A function of a text: the likeliest language (ties: the first) and its posterior; ("und", 0) without a letter."""
-        index, cache = Pieces(self.pieces), {}
-
-        def score(word: str) -> np.ndarray:
-            got = cache.get(word)
-            if got is None:
-                if len(cache) >= CACHE:
-                    cache.clear()
-                got = cache[word] = likelihoods(index.edges(word), self.p)
-            return got
-
-        def predict(text: str | None) -> tuple[str, float]:
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """The likeliest language of each text (ties: the first) and its posterior; ("und", 0) without a letter."""
+        if not hasattr(self, "_index"):  # kept as long as the worker has the model
+            self._index, self._row, self._known = Pieces(self.pieces), {}, np.zeros((CACHE, len(self.languages)))
+        out, row = [], self._row
+        for text in texts:
             found = words(text)
             if not found or not self.languages:
-                return "und", 0.0
+                out.append(("und", 0.0))
+                continue
             total = self.prior.copy()
-            for at in range(0, len(found), 1 << 16):
-                total += np.array([score(w) for w in found[at : at + (1 << 16)]]).sum(axis=0)
+            for at in range(0, len(found), PIECE):
+                part = found[at : at + PIECE]
+                fresh = list({w for w in part if w not in row})
+                if len(row) + len(fresh) > CACHE:
+                    row.clear()
+                    fresh = list(set(part))
+                if fresh:
+                    self._known[len(row) : len(row) + len(fresh)] = self._index.likelihoods(fresh, self.p)
+                    row.update(zip(fresh, range(len(row), len(row) + len(fresh)), strict=True))
+                total += self._known[list(map(row.__getitem__, part))].sum(axis=0)
             odds = np.exp(total - total.max())
             best = int(np.argmax(odds))
-            return self.languages[best], float(odds[best] / odds.sum())
-
-        return predict
+            out.append((self.languages[best], float(odds[best] / odds.sum())))
+        return out
 
 
 def word_counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
@@ -170,15 +188,18 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", name: str = VOC
     sums_schema = arrow_schema("lang int, piece int, c double")
     place = {k: i for i, k in enumerate(languages)}
     for _ in range(rounds if languages else 0):
-        now = p.T.tolist()
+        now = p
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index, sums = Pieces(pieces), [{} for _ in languages]  # noqa: B023
+            index, sums = Pieces(pieces), np.zeros((len(languages), size + 1))
             for b in batches:
-                for k, w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                    expected(index.edges(w), now[place[k]], n, sums[place[k]])  # noqa: B023
-            rows = [(i, k, c) for i, s in enumerate(sums) for k, c in s.items()]
-            yield batch(rows, sums_schema)
+                for at in range(0, b.num_rows, 8192):
+                    k, w, n = (b.column(c).slice(at, 8192).to_pylist() for c in range(3))
+                    own = np.array([place[x] for x in k])
+                    x, piece, share = index.expected(w, np.array(n, float), lambda x, piece: now[piece, own[x]])  # noqa: B023
+                    np.add.at(sums, (own[x], piece), share)
+            lang, piece = np.nonzero(sums[:, :size])
+            yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(piece.astype(np.int32)), pa.array(sums[lang, piece])], schema=sums_schema)
 
         got = counts.mapInArrow(run, "lang int, piece int, c double").groupBy("lang", "piece").agg(F.sum("c").alias("c")).collect()
         p[:size] = ADDED
@@ -197,14 +218,10 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
 def _identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """Replaces the column _text by lang_pred and score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    out = replaced(docs.drop("lang_pred", "score"), "_text", "_p", "struct<lang_pred: string, score: double>", lambda: _pairs(shared.value.predictor()))
+    out = replaced_batches(docs.drop("lang_pred", "score"), "_text", "_p", "struct<lang_pred: string, score: double>", lambda texts: [dict(zip(("lang_pred", "score"), x, strict=True)) for x in shared.value.predict(texts)])
     return out.select(*[c for c in out.columns if c != "_p"], "_p.lang_pred", "_p.score")
 
 
-def _pairs(predict: Callable) -> Callable:
-    return lambda text: dict(zip(("lang_pred", "score"), predict(text), strict=True))
-
-
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The predicted language of every document; rows with crc32 of the id mod 4 = 2 are held out from learning."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
