@@ -74,8 +74,7 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", margins: dict[s
     """
     margins = margins or {"source": F.col("source"), "lang": F.col("lang"), "topic": topic_of(F.col(text))}
     new = {"n_tokens": n_tokens(F.col(text).cast("string"))} | {k: F.coalesce(v.cast("string"), F.lit(NONE)) for k, v in margins.items()}
-    own = {f"_{k}": v for k, v in new.items()}
-    keys = [f"_{k}" for k in margins]
+    own = {f"_mix_{k}": v for k, v in new.items()}
     cells = stored(docs.select(*[v.alias(k) for k, v in new.items()]).groupBy(*margins).agg(F.sum("n_tokens").alias("tokens")), "cells")
     # a cell without tokens takes no part in the raking and has the weight 0
     some = cells.where("tokens > 0")
@@ -83,14 +82,14 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", margins: dict[s
         targets = {k: stored(tempered_targets(some, k, temper), "targets") for k in margins}
     raked = rake(some, targets, rounds).withColumn("weight", F.col("raked") / F.col("tokens"))
     most = raked.agg(F.max("weight")).first()[0] or 1.0
-    raked = raked.select(*[F.col(k).alias(f"_c{k}") for k in margins], "weight")
+    raked = raked.select(*[F.col(k).alias(f"_cell_{k}") for k in margins], F.col("weight").alias("_cell_weight"))
     out = docs.withColumns(own)
-    same = [F.col(k) == F.col(f"_c{k[1:]}") for k in keys]
-    out = out.join(raked, same, "left").withColumn("_weight", F.coalesce("weight", F.lit(0.0)))
+    same = [F.col(f"_mix_{k}") == F.col(f"_cell_{k}") for k in margins]
+    out = out.join(raked, same, "left").withColumn("_mix_weight", F.coalesce("_cell_weight", F.lit(0.0)))
     draw = F.conv(F.substring(F.md5(F.coalesce(F.col(id).cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("double") / 2**32
     rest = [c for c in docs.columns if c not in {*new, "weight", "probability", "kept"} or c in (id, text)]
-    share = F.col("_weight") / most
-    return out.select(*[docs[c] for c in rest], *[F.col(f"_{k}").alias(k) for k in new], F.col("_weight").alias("weight"), share.alias("probability"), (draw < share).alias("kept"))
+    share = F.col("_mix_weight") / most
+    return out.select(*[docs[c] for c in rest], *[F.col(f"_mix_{k}").alias(k) for k in new], F.col("_mix_weight").alias("weight"), share.alias("probability"), (draw < share).alias("kept"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -214,6 +214,13 @@ def trie_links(fps: DataFrame, budget: int = 4, fp: str = "fp", forest: bool = T
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _groups(prints: DataFrame, budget: int) -> DataFrame:
+    """(_fp, root): the component of each distinct fingerprint."""
+    roots = connected_components(trie_links(prints, budget))
+    one = prints.where("fp is not null").select("fp").distinct()
+    return one.join(roots, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "fp").alias("root"))
+
+
 def simhash_components(prints: DataFrame, id: str = "doc_id", fp: str = "fp", budget: int = 4) -> DataFrame:
     """(id, fp, component_id) of every row: the smallest id that links reach, the row's own included.
 
@@ -221,15 +228,35 @@ def simhash_components(prints: DataFrame, id: str = "doc_id", fp: str = "fp", bu
     non-null id has a null component_id.
     """
     prints = prints.select(F.col(id).alias(id), F.col(fp).alias("fp"))
-    roots = connected_components(trie_links(prints, budget))
     least = prints.where("fp is not null").groupBy("fp").agg(F.min(id).alias("low"))
-    least = least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("component", "fp").alias("root"))
+    least = least.join(_groups(prints, budget), F.col("fp") == F.col("_fp")).select("fp", "low", "root")
     lows = least.groupBy("root").agg(F.min("low").alias("component_id"))
     names = least.join(lows, "root").select(F.col("fp").alias("_fp"), "component_id")
     out = prints.join(names, F.col("fp") == F.col("_fp"), "left")
     return out.select(id, "fp", F.when(F.col("fp").isNull(), F.col(id)).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def near_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 4, budget: int = 4) -> DataFrame:
+    """docs with one row of each component: the one with the smallest id (nulls last), then the smallest text hash.
+
+    All columns stay.  Null and empty texts are equal texts here, so one of them stays.  Of rows that repeat
+    both id and text one stays.
+    """
+    key = docs.select(F.col(id).alias("_id"), F.xxhash64(F.col(text).cast("string")).alias("_t"), F.col(text).cast("string").alias("text"))
+    prints = stored(with_fingerprint(key), "prints")
+    order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_t").alias("t"))
+    least = prints.groupBy("fp").agg(F.min(order).alias("low")).join(_groups(prints, budget), F.col("fp") == F.col("_fp"))
+    first = least.groupBy("root").agg(F.min("low").alias("first"))
+    firsts = least.join(first, "root").select(F.col("fp").alias("_fp"), "first")
+    gone = prints.join(firsts, F.col("fp") == F.col("_fp")).where(order != F.col("first")).select(F.col("_id").alias("_gone"), F.col("_t").alias("_gone_t"))
+    gone = stored(gone.distinct(), "gone")
+    rows = docs.withColumn("_t", F.xxhash64(F.col(text).cast("string")))
+    out = rows.join(gone, F.col(id).eqNullSafe(F.col("_gone")) & (F.col("_t") == F.col("_gone_t")), "left_anti")
+    if not prints.groupBy("_id", "_t").count().where("count > 1").isEmpty():
+        out = out.dropDuplicates([id, "_t"])
+    return out.drop("_t")
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint and component of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
