@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from graphloom.llm import langid, linededup, mixing, mpegaudio, pivotindex, simhash, toxicity, urlfilter, warc
+from graphloom.llm import langid, linededup, mixing, mpegaudio, packing, pivotindex, simhash, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -12,6 +12,7 @@ QUERIES = {
     "op3_langid": langid.op3_langid,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_linededup": linededup.op5_linededup,
+    "op6_packing": packing.op6_packing,
     "op7_pivotindex": pivotindex.op7_pivotindex,
     "op8_urlfilter": urlfilter.op8_urlfilter,
     "op9_warc": warc.op9_warc,
