@@ -1,0 +1 @@
+"""Property-graph analytics as Spark DataFrames."""
