@@ -28,8 +28,8 @@ PART = 32
 #: Probability of a letter that no piece covers, and what is added to each expected count.
 UNKNOWN, ADDED = 1e-7, 0.05
 ROUNDS = 2
-#: Words whose likelihoods a worker keeps, and words looked up at a time.
-CACHE, PIECE = 500_000, 1 << 16
+#: Words whose likelihoods a worker keeps, words looked up at a time, and words summed over at a time.
+CACHE, PIECE, TOGETHER = 500_000, 1 << 16, 4096
 
 
 def vocabulary(name: str = VOCABULARY) -> list[str]:
@@ -63,22 +63,27 @@ class Pieces:
         A letter that no one-letter piece covers is the piece ``unknown``, and so is the mark, so that a word's
         start may also be cut as its inside is.
         """
-        get, unknown, out = self.number.get, self.unknown, []
-        for x, word in enumerate(words):
+        get, unknown, out, sizes = self.number.get, self.unknown, [], []
+        add = out.append  # an edge is one number: piece, from and to, 6 bits each for the places
+        for word in words:
             w = "▁" + word
-            n = len(w)
+            n, before = len(w), len(out)
             for i in range(n):
                 j = i + 1
-                k = get(w[i:j])
-                out.append((x, i, j, unknown if k is None or k < 0 else k))
+                k = get(w[i])
+                add((unknown if k is None or k < 0 else k) << 12 | i << 6 | j)
                 while k is not None and j < n:
                     j += 1
                     k = get(w[i:j])
                     if k is not None and k >= 0:
-                        out.append((x, i, j, k))
-        x, i, j, k = np.array(out, np.int64).T
-        order = np.lexsort((x, j))
-        return x[order], i[order], j[order], k[order], np.fromiter(map(len, words), np.int64, len(words)) + 1
+                        add(k << 12 | i << 6 | j)
+            sizes.append(len(out) - before)
+        code = np.array(out, np.int64)
+        j = code & 63
+        order = np.argsort(j.astype(np.int8), kind="stable")
+        code = code[order]
+        x = np.repeat(np.arange(len(words)), sizes)[order]
+        return x, code >> 6 & 63, code & 63, code >> 12, np.fromiter(map(len, words), np.int64, len(words)) + 1
 
     def forward(self, edges: tuple, p: np.ndarray) -> np.ndarray:
         """[word, place, …]: the summed probabilities of all segmentations up to each place; p has a row for each edge."""
@@ -120,27 +125,42 @@ class LanguageModel:
     pieces: list[str]
     p: np.ndarray
 
+    def _learn(self, found: list[str]) -> None:
+        """Makes sure that all these words' likelihoods are at hand; forgets the others if there is no room."""
+        row = self._row
+        fresh = list({w for w in found if w not in row})
+        if len(row) + len(fresh) > CACHE:
+            row.clear()
+            fresh = list(set(found))
+        for at in range(0, len(fresh), TOGETHER):
+            part, n = fresh[at : at + TOGETHER], len(row)
+            self._known[n : n + len(part)] = self._index.likelihoods(part, self.p)
+            row.update(zip(part, range(n, n + len(part)), strict=True))
+
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """The likeliest language of each text (ties: the first) and its posterior; ("und", 0) without a letter."""
         if not hasattr(self, "_index"):  # kept as long as the worker has the model
             self._index, self._row, self._known = Pieces(self.pieces), {}, np.zeros((CACHE, len(self.languages)))
         out, row = [], self._row
-        for text in texts:
-            found = words(text)
+        split = list(map(words, texts))
+        new: set[str] = set()
+        for found in split:
+            new.update(w for w in found if w not in row)
+        if len(new) <= CACHE // 4:  # many words at once are cheaper
+            self._learn(list(new))
+        for found in split:
             if not found or not self.languages:
                 out.append(("und", 0.0))
                 continue
             total = self.prior.copy()
             for at in range(0, len(found), PIECE):
                 part = found[at : at + PIECE]
-                fresh = list({w for w in part if w not in row})
-                if len(row) + len(fresh) > CACHE:
-                    row.clear()
-                    fresh = list(set(part))
-                if fresh:
-                    self._known[len(row) : len(row) + len(fresh)] = self._index.likelihoods(fresh, self.p)
-                    row.update(zip(fresh, range(len(row), len(row) + len(fresh)), strict=True))
-                total += self._known[list(map(row.__getitem__, part))].sum(axis=0)
+                try:
+                    known = list(map(row.__getitem__, part))
+                except KeyError:
+                    self._learn(part)
+                    known = list(map(row.__getitem__, part))
+                total += self._known[known].sum(axis=0)
             odds = np.exp(total - total.max())
             best = int(np.argmax(odds))
             out.append((self.languages[best], float(odds[best] / odds.sum())))
@@ -193,8 +213,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", name: str = VOC
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index, sums = Pieces(pieces), np.zeros((len(languages), size + 1))
             for b in batches:
-                for at in range(0, b.num_rows, 8192):
-                    k, w, n = (b.column(c).slice(at, 8192).to_pylist() for c in range(3))
+                for at in range(0, b.num_rows, TOGETHER):
+                    k, w, n = (b.column(c).slice(at, TOGETHER).to_pylist() for c in range(3))
                     own = np.array([place[x] for x in k])
                     x, piece, share = index.expected(w, np.array(n, float), lambda x, piece: now[piece, own[x]])  # noqa: B023
                     np.add.at(sums, (own[x], piece), share)
