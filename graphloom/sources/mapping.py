@@ -103,7 +103,7 @@ class Graph:
         if t.type_field:
             df = df.where(F.col(t.type_field) == t.type_value)
         renamed = {v: k for k, v in t.fields.items()}
-        return df.select(key_of(t.key).alias("_id"), *[F.col(c).alias(renamed.get(c, c)) for c in df.columns])
+        return df.select(key_of(t.key).alias("_id"), *[F.col(c).alias(renamed.get(c, c)) for c in df.columns if c != "_id"])
 
     def edges(self, name: str | Sequence[str]) -> DataFrame:
         """_src, _dst, _eid, _type and properties of one type's edges, or of several types' without properties."""
