@@ -51,7 +51,7 @@ def choose_pivots(reps: DataFrame, n: int, vector: str) -> np.ndarray:
     """A sample of distinct vectors that depends on their values alone: those with the smallest hashes."""
     count = max(LEAST_PIVOTS, min(MOST_PIVOTS, math.isqrt(n)))
     rows = reps.select(vector).orderBy(F.xxhash64(vector), vector).limit(count).collect()
-    return _unit(np.array([r[0] for r in rows], np.float64))
+    return _unit(np.array([r[0] for r in rows], np.float64)) if rows else np.zeros((0, 1))
 
 
 def with_permutation(reps: DataFrame, pivots: np.ndarray, vector: str, nearest: int = NEAREST) -> DataFrame:
