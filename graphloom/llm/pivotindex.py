@@ -19,8 +19,9 @@ from graphloom.llm.components import connected_components
 from graphloom.llm.shared import stored
 from graphloom.llm.simhash import _stars
 
-#: Pivots: the square root of the number of vectors, within these bounds; the sample of vectors that they are.
+#: Pivots: the square root of the number of vectors, within these bounds; how they are sampled.
 LEAST_PIVOTS, MOST_PIVOTS = 128, 4096
+OVERSAMPLE, APART = 4, 0.8
 #: Nearest pivots that describe a vector, and how many of them a candidate shares.
 NEAREST, SHARED = 12, 3
 #: Vectors of a block.
@@ -48,10 +49,23 @@ def usable(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
 
 
 def choose_pivots(reps: DataFrame, n: int, vector: str) -> np.ndarray:
-    """A sample of distinct vectors that depends on their values alone: those with the smallest hashes."""
+    """Reference points from a sample of distinct vectors that depends on their values alone (the smallest hashes).
+
+    The sample has OVERSAMPLE vectors for each pivot wanted.  A vector near a pivot (cosine of APART or more) is
+    passed over, so that a group of near copies has one pivot, however large a share of the vectors it is.
+    """
     count = max(LEAST_PIVOTS, min(MOST_PIVOTS, math.isqrt(n)))
-    rows = reps.select(vector).orderBy(F.xxhash64(vector), vector).limit(count).collect()
-    return _unit(np.array([r[0] for r in rows], np.float64)) if rows else np.zeros((0, 1))
+    rows = reps.select(vector).orderBy(F.xxhash64(vector), vector).limit(OVERSAMPLE * count).collect()
+    if not rows:
+        return np.zeros((0, 1))
+    x = _unit(np.array([r[0] for r in rows], np.float64))
+    free, chosen = np.ones(len(x), bool), []
+    while free.any() and len(chosen) < count:
+        i = int(np.argmax(free))
+        chosen.append(i)
+        free &= x @ x[i] < APART
+        free[i] = False
+    return x[chosen]
 
 
 def with_permutation(reps: DataFrame, pivots: np.ndarray, vector: str, nearest: int = NEAREST) -> DataFrame:
