@@ -232,14 +232,14 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", name: str = VOC
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
     """Adds lang_pred and score; ``text`` stays.  Null texts and texts without a letter are ("und", 0)."""
-    return _identified(docs.withColumn("_text", F.col(text).cast("string")), model)
+    return _identified(docs.withColumn("_graphloom_text", F.col(text).cast("string")), model)
 
 
 def _identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """Replaces the column _text by lang_pred and score."""
+    """Replaces the column _graphloom_text by lang_pred and score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    out = replaced_batches(docs.drop("lang_pred", "score"), "_text", "_p", "struct<lang_pred: string, score: double>", lambda texts: [dict(zip(("lang_pred", "score"), x, strict=True)) for x in shared.value.predict(texts)])
-    return out.select(*[c for c in out.columns if c != "_p"], "_p.lang_pred", "_p.score")
+    out = replaced_batches(docs.drop("lang_pred", "score"), "_graphloom_text", "_graphloom_told", "struct<lang_pred: string, score: double>", lambda texts: [dict(zip(("lang_pred", "score"), x, strict=True)) for x in shared.value.predict(texts)])
+    return out.select(*[c for c in out.columns if c != "_graphloom_told"], "_graphloom_told.lang_pred", "_graphloom_told.score")
 
 
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,4 +247,4 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     learn = docs.where(F.col("doc_id").isNotNull() & ~in_fold("doc_id", 4, 2))
     model = fit(learn)
-    return _identified(docs.select("doc_id", in_fold("doc_id", 4, 2).alias("held_out"), F.col("text").alias("_text")), model)
+    return _identified(docs.select("doc_id", in_fold("doc_id", 4, 2).alias("held_out"), F.col("text").alias("_graphloom_text")), model)

@@ -81,7 +81,7 @@ def chars(words):
 
 def test_decodes_disguised_words():
     model = chars(["idiot", "moron", "trash", "scum", "hello", "world", "loser", "the"])
-    for disguised, word in (("1d10t", "idiot"), ("m0r0n", "moron"), ("tr@$h", "trash"), ("s.c.u.m", "scum"), ("l0ooooser", "loser"), ("heeeello", "hello")):
+    for disguised, word in (("1d10t", "idiot"), ("m0r0n", "moron"), ("tr@$h", "trash"), ("s.c.u.m", "scum"), ("l0seeeer", "loser"), ("heeeello", "hello")):
         assert toxicity.decode(disguised, model) == word
     words = toxicity.Restorer(model).words("An i d i o t! THE*** $cum, m-o-r-o-n; www.x.y 2.0. trrrrash")
     assert {"idiot", "scum", "moron", "trash", "the", "an"} <= words
