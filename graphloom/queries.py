@@ -84,10 +84,10 @@ def inline_property_literal(g: Graph) -> DataFrame:
     return match(g, "Order", "o", {"o_orderstatus": "f"}).df.agg(F.count("*").alias("n"))
 
 
-@query("SELECT p_partkey AS id FROM part WHERE p_name LIKE 'p%' AND p_name LIKE '%1' AND contains(p_name, '1')")
+@query("SELECT p_partkey AS id FROM part WHERE p_type LIKE 'S%' AND p_brand LIKE '%3' AND contains(p_type, 'A')")
 def string_predicates(g: Graph) -> DataFrame:
     p = match(g, "Part", "p")
-    return p.where(p["p.p_name"].startswith("p") & p["p.p_name"].endswith("1") & p["p.p_name"].contains("1")).select(id=p["p"])
+    return p.where(p["p.p_type"].startswith("S") & p["p.p_brand"].endswith("3") & p["p.p_type"].contains("A")).select(id=p["p"])
 
 
 @query("SELECT s_suppkey AS id FROM supplier WHERE regexp_full_match(s_name, '.*[05]')")
@@ -221,9 +221,9 @@ def pattern_predicate(g: Graph) -> DataFrame:
     return p.select(id=p["c"])
 
 
-@query("SELECT c_custkey AS id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey AS id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def not_pattern_predicate(g: Graph) -> DataFrame:
-    p = match(g, "Customer", "c").exists("c", lambda q: q.out("PLACED", None, "o"), negate=True)
+    p = match(g, "Customer", "c").exists("c", lambda q: q.out("PLACED", "Order", "o", properties={"o_orderstatus": "P"}), negate=True)
     return p.select(id=p["c"])
 
 
