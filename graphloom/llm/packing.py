@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,32 +25,53 @@ WINDOW, END = 2048, 1
 SHARD_TOKENS = 2_000_000
 #: BM25's usual constants.
 K1, B = 1.2, 0.75
-#: Words whose ids a task keeps.
-CACHE = 300_000
+#: Words whose ids a worker keeps, about.
+CACHE = 1_200_000
 #: ASCII signs that end words; behind a letter they are tokens of their own.
 SIGNS = ".,;:!?|*%$#&)\""
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
+@lru_cache(4)
 def encoder(name: str = TOKENIZER) -> Callable[[str | None], bytes]:
     """A function from a text to its ids (little-endian 32 bit) as the public tokenizer gives them.
 
-    The tokenizer never joins across a blank or a line feed, so words are encoded one by one and kept.
+    The tokenizer never joins across a blank or a line feed, so words are encoded once and kept as long as the
+    worker lives.  A word of letters is one pre-token, whose last id ends a word; many such words are encoded
+    as one text and told apart by those ids.
     """
     import public_tokenizers
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(name if "/" in name else public_tokenizers.path(name))
+    ends = np.zeros(tokenizer.get_vocab_size(), bool)
+    ends[[i for w, i in tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
     cache: dict[str, bytes] = {"": b""}
 
     def fresh(words: list[str]) -> None:
-        if len(cache) + len(words) > CACHE:
-            cache.clear()
-            cache[""] = b""
-        for w, e in zip(words, tokenizer.encode_batch(words, add_special_tokens=False), strict=True):
+        plain = [w for w in words if w.isalpha()]
+        others = [w for w in words if not w.isalpha()]
+        for at in range(0, len(plain), 4096):
+            part = plain[at : at + 4096]
+            ids = np.array(tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            last = (np.flatnonzero(ends[ids]) + 1).tolist()
+            if len(last) != len(part):  # letters that the tokenizer sees otherwise
+                others += part
+                continue
+            data = ids.tobytes()
+            cache.update(zip(part, (data[4 * i : 4 * j] for i, j in zip([0, *last], last, strict=False)), strict=True))
+        for w, e in zip(others, tokenizer.encode_batch(others, add_special_tokens=False), strict=True):
             cache[w] = np.array(e.ids, "<u4").tobytes()
 
+    def learn(words: set[str]) -> None:
+        """Encodes words; the tokenizer lowers letters, so ASCII words that differ in case alone are encoded once."""
+        low = {w: w.lower() for w in words if w.isascii() and w.isalpha()}
+        fresh(list({k for w in words if (k := low.get(w, w)) not in cache}))
+        for w, k in low.items():
+            if k in cache:
+                cache[w] = cache[k]
+
     def encode(text: str | None) -> bytes:
         out = []
         words = (text or "").replace("\n", " ").split(" ")
@@ -64,10 +86,10 @@ def encoder(name: str = TOKENIZER) -> Callable[[str | None], bytes]:
             try:
                 out.append(b"".join(map(cache.__getitem__, parts)))
             except KeyError:
-                fresh(list({p for p in parts if p not in cache}))
-                missing = [p for p in set(parts) if p not in cache]  # the cache was emptied
-                if missing:
-                    fresh(missing)
+                if len(cache) > CACHE:
+                    cache.clear()
+                    cache[""] = b""
+                learn({p for p in parts if p not in cache})
                 out.append(b"".join(map(cache.__getitem__, parts)))
         return b"".join(out)
 
@@ -75,7 +97,7 @@ def encoder(name: str = TOKENIZER) -> Callable[[str | None], bytes]:
 
 
 def tokens(docs: DataFrame, id: str = "doc_id", text: str = "text", name: str = TOKENIZER, end: int = END) -> DataFrame:
-    """(doc_id, ids, terms): each document's ids with ``end`` behind them, and how many different ones; null texts are empty."""
+    """(doc_id, ids): each document's ids with ``end`` behind them; null texts are empty."""
     schema = arrow_schema("doc_id long, ids binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
