@@ -76,21 +76,21 @@ def encoder(name: str = TOKENIZER) -> Callable[[str | None], bytes]:
         out = []
         words = (text or "").replace("\n", " ").split(" ")
         for at in range(0, len(words), 1 << 16):
-            parts = []
-            for w in words[at : at + (1 << 16)]:
-                core = w.rstrip(SIGNS)
-                if len(core) < len(w) and core and core[-1].isalpha() and "<" not in w:
-                    parts += (core, w[len(core) :])
-                else:
-                    parts.append(w)
+            part = words[at : at + (1 << 16)]
             try:
-                out.append(b"".join(map(cache.__getitem__, parts)))
+                out.append(b"".join(map(cache.__getitem__, part)))
             except KeyError:
                 if len(cache) > CACHE:
                     cache.clear()
                     cache[""] = b""
-                learn({p for p in parts if p not in cache})
-                out.append(b"".join(map(cache.__getitem__, parts)))
+                missing, split = {w for w in part if w not in cache}, {}
+                for w in missing:
+                    core = w.rstrip(SIGNS)
+                    if len(core) < len(w) and core and core[-1].isalpha() and "<" not in w:
+                        split[w] = core, w[len(core) :]
+                learn({p for p in missing.difference(split).union(*split.values()) if p not in cache})
+                cache.update((w, cache[core] + cache[signs]) for w, (core, signs) in split.items())
+                out.append(b"".join(map(cache.__getitem__, part)))
         return b"".join(out)
 
     return encode
