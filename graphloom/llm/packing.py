@@ -86,7 +86,7 @@ def encoder(name: str = TOKENIZER) -> Callable[[str | None], bytes]:
                 missing, split = {w for w in part if w not in cache}, {}
                 for w in missing:
                     core = w.rstrip(SIGNS)
-                    if len(core) < len(w) and core and core[-1].isalpha() and "<" not in w:
+                    if len(core) < len(w) and core and core[-1].lower()[-1].isalpha() and "<" not in w:
                         split[w] = core, w[len(core) :]
                 learn({p for p in missing.difference(split).union(*split.values()) if p not in cache})
                 cache.update((w, cache[core] + cache[signs]) for w, (core, signs) in split.items())

@@ -99,6 +99,18 @@ def test_packs_every_token_once(spark):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_encodes_as_the_tokenizer_does():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer, encode = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER)), packing.encoder()
+    words = ["The", "the.", "İ,", "İ", "É.", "e\u0301,", "don't,", "'S.", 'x"', "a<b,", "<|endoftext|>.", "ⅷ!", "٣.", "ǅ;", "…", "", "x\u2028y.", "tab\tb,"]
+    for w in words:
+        for v in words:
+            text = f"{w} {v}\n{w}"
+            assert encode(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+
+
 def test_neighbours_come_by_bm25():
     rng = np.random.default_rng(2)
     docs = [rng.integers(0, 50, rng.integers(5, 60)).astype(np.uint32) for _ in range(40)]
