@@ -8,8 +8,9 @@ shingle sets verifies them, and distributed components keep the first line of ea
 
 No bucket is expanded into all its pairs.  First every line is compared with one line of each of its buckets, which
 a hash picks.  Where a bucket's lines are not one component after that, a small bucket's lines of different
-components are compared with each other, and a large one's with more lines that hashes pick; so the pairs of a
-bucket grow with its lines, whatever its size.
+components are compared with each other, and a large one's with more lines that hashes pick.  A large bucket whose
+lines are still of several components is searched exactly by prefix filter: lines that are near share one of the
+few rarest shingles of each, so all lines with such a shingle in common are compared, in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ SHINGLE, SIGNATURE, RUN, SIMILAR = 9, 9, 3, 0.8
 #: A match starts at each anchor and holds the shingle; those at the end of a line may be shorter.
 LATIN = r"A-Za-z\u00C0-\u024F"
 ANCHORED = rf"(?s)(?=(.{{1,{SHINGLE}}}))(?:[^{LATIN}]?[{LATIN}]{{1,{SHINGLE - 1}}}+|.)"
-#: Lines of a bucket up to which all are compared, and the lines that all others of a larger bucket are compared with.
-SMALL, PICKED = 32, 4
+#: Lines of a bucket up to which all are compared, the lines that all others of a larger bucket are compared with
+#: first, and the lines of a block in the exact search after that.
+SMALL, PICKED, BLOCK = 32, 4, 256
 #: Rows up to which a table (two longs a row) is broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -72,12 +74,39 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.where(F.col("i") >= SIMILAR * (F.col("n") - F.col("i"))).select("a", "b")
 
 
+def _prefix_pairs(late: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (x, y) of lines (lid, c) of different components c, among them every pair whose Jaccard similarity reaches SIMILAR.
+
+    A line's shingles are ordered by how many lines have them, rarest first.  Of n shingles SIMILAR * n at least
+    are in a near line too, so two near lines share one of the first n - SIMILAR * n + 1 of each.  The lengths and
+    the places of a shared shingle bound what can still be shared.
+    """
+    hashes = F.array_distinct(F.transform(shingles("norm"), lambda x: F.xxhash64(x)))
+    rows = late.join(texts.select("lid", "norm"), "lid").select("lid", "c", F.explode(hashes).alias("h"))
+    rows = stored(rows, "shingles")
+    # a shingle that one line alone has stays in the order, but finds nothing
+    often = rows.groupBy("h").agg(F.count("*").alias("m"), F.min("c").alias("low"), F.max("c").alias("high"))
+    ordered = F.array_sort(F.collect_list(F.struct("m", "h", (F.col("low") < F.col("high")).alias("mixed"))))
+    sets = rows.join(often, "h").groupBy("lid", "c").agg(ordered.alias("s")).withColumn("n", F.size("s"))
+    first = F.slice("s", F.lit(1), (F.col("n") - F.ceil(SIMILAR * F.col("n") - 1e-9) + 1).cast("int"))
+    posted = sets.select("lid", "c", "n", F.posexplode(first).alias("place", "e")).where("e.mixed")
+    posted = posted.select("lid", "c", "n", "place", "e.h", F.ceil(F.col("e.m") / BLOCK).cast("int").alias("blocks"))
+    posted = posted.withColumn("block", F.pmod(F.xxhash64("lid"), F.col("blocks")).cast("int"))
+    posted = posted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    posted = stored(posted.select("h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "lid", "c", "n", "place"), "posted")
+    x, y = (posted.select("h", "i", "j", *[F.col(k).alias(f"{k}{t}") for k in ("lid", "c", "n", "place")]) for t in "xy")
+    both = x.join(y, ["h", "i", "j"]).where("lidx > lidy and cx <> cy")
+    shared = F.least(F.col("nx") - F.col("placex"), F.col("ny") - F.col("placey"))
+    both = both.where((shared >= SIMILAR / (1 + SIMILAR) * (F.col("nx") + F.col("ny")) - 1e-9) & (F.least("nx", "ny") >= SIMILAR * F.greatest("nx", "ny") - 1e-9))
+    return both.select(F.col("lidx").alias("x"), F.col("lidy").alias("y")).distinct()
+
+
 def line_components(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, tkey, pos, component, kept): every line that is not blank.
 
     Lines are equal if normal() makes them equal, and near if their shingle sets reach SIMILAR and they are compared:
-    they share a band (at a similarity of exactly 0.8 some 94 of 100 pairs do, at 0.9 all but a few of 1000) of at
-    most SMALL lines, or one that a hash picked is between them.  ``kept`` marks
+    they share a band (at a similarity of exactly 0.8 some 94 of 100 pairs do, at 0.9 all but a few of 1000), however
+    many lines it has.  ``kept`` marks
     the first line of a component by id (null first), text hash and place.  Null and empty texts have no lines;
     rows that repeat both id and text share their lines' fate.  A line's key is its 64-bit hash.
     """
@@ -108,6 +137,14 @@ def line_components(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     links = roots.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(_verified(rest, texts))
     roots = stored(connected_components(links), "roots")
 
+    large = mixed.where(F.col("n") > SMALL).select("band", "lid").join(roots, F.col("lid") == F.col("node"), "left").select("band", "lid", F.coalesce("component", "lid").alias("c"))
+    split = large.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("band")
+    late = stored(large.join(split, "band").select("lid", "c").distinct(), "late")
+    if not late.isEmpty():
+        rest = _prefix_pairs(late, texts).select(*pair).distinct()
+        links = roots.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(_verified(rest, texts))
+        roots = stored(connected_components(links), "roots")
+
     place = F.struct("id", "tkey", "pos")
     firsts = marks.groupBy("lid").agg(F.min(place).alias("first"))
     firsts = firsts.join(roots, F.col("lid") == F.col("node"), "left").select("lid", "first", F.coalesce("component", "lid").alias("component"))

@@ -159,3 +159,26 @@ def test_vectors(spark):
     for i in (5001, 5002, 5003, 5004, 5005):
         assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True)
     assert all(r["kept"] == (r["component_id"] == i) for i, r in got.items())
+
+
+def test_large_line_buckets_are_searched_exactly(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    template = "The undersigned hereby confirms to the authority that "
+    lines = []
+    for _ in range(150):  # small near groups in the template's buckets
+        tail = [word() for _ in range(7)]
+        lines += [template + " ".join(tail), template + " ".join([*tail[:-1], tail[-1][:-1] + "z"])]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r["id"]: r["component"] for r in linededup.line_components(df).collect()}
+    sizes = spark.createDataFrame([(x,) for x in lines], "norm string").withColumn("s", linededup.signature("norm")).select(F.explode(linededup.bands("s")).alias("b")).groupBy("b").count()
+    assert sizes.agg(F.max("count")).first()[0] > linededup.SMALL
+    assert sum(got[i] == got[i + 1] for i in range(0, 300, 2)) >= 149
+    # the search itself misses no pair
+    texts = df.select(F.xxhash64("text").alias("lid"), F.col("text").alias("norm"))
+    pairs = {(r["x"], r["y"]) for r in linededup._prefix_pairs(texts.select("lid", F.col("lid").alias("c")), texts).collect()}
+    keys = {r["norm"]: r["lid"] for r in texts.collect()}
+    sets = {k: set(r["s"]) for r in texts.withColumn("s", linededup.shingles("norm")).collect() for k in [r["norm"]]}
+    near = [(a, b) for i, a in enumerate(lines) for b in lines[i + 1 :] if a != b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(near) >= 100
+    assert {(max(keys[a], keys[b]), min(keys[a], keys[b])) for a, b in near} <= pairs
