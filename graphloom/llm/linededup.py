@@ -1,10 +1,11 @@
 """Fuzzy line deduplication by MinHash, in DataFrame operations only.
 
-A line's character shingles start at its anchors: where a word does (with the sign or blank in front of it), at
-any other character that is no Latin letter, and every eight letters within a word.  Equal passages have equal
-anchors, and every character is in a shingle.  A signature is the smallest hashes of the shingles; bands are runs
-of consecutive signature values.  Lines that share a band are candidates, an exact Jaccard similarity of their
-shingle sets verifies them, and distributed components keep the first line of each.
+A line's signature takes the character shingles at its anchors: where a word starts (with the sign or blank in front
+of it), any other character that is no Latin letter, and every eight letters within a word.  Equal passages have
+equal anchors, and every character is in a shingle.  A short line has few anchors, its signature takes the shingles
+at every character.  A signature is the smallest hashes of these shingles; bands are runs of consecutive signature
+values.  Lines that share a band are candidates, an exact Jaccard similarity of the sets of the shingles at every
+character verifies them, and distributed components keep the first line of each.
 
 No bucket is expanded into all its pairs.  First every line is compared with one line of each of its buckets, which
 a hash picks.  Where a bucket's lines are not one component after that, a small bucket's lines of different
@@ -26,6 +27,11 @@ SHINGLE, SIGNATURE, RUN, SIMILAR = 9, 9, 3, 0.8
 #: A match starts at each anchor and holds the shingle; those at the end of a line may be shorter.
 LATIN = r"A-Za-z\u00C0-\u024F"
 ANCHORED = rf"(?s)(?=(.{{1,{SHINGLE}}}))(?:[^{LATIN}]?[{LATIN}]{{1,{SHINGLE - 1}}}+|.)"
+#: A match at each character from which a whole shingle goes on.
+EVERY = rf"(?s)(?=(.{{{SHINGLE}}}))."
+#: Shorter lines than the second have a signature of all shingles, longer ones than the first one of anchored ones;
+#: those between have both, so that lines of about a length meet.
+SHORT = 80, 100
 #: Lines of a bucket up to which all are compared, the lines that all others of a larger bucket are compared with
 #: first, and the lines of a block in the exact search after that.
 SMALL, PICKED, BLOCK = 32, 4, 256
@@ -38,19 +44,25 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def normal(line: Column) -> Column:
-    """What lines are compared by: no white space around."""
-    return F.trim(line, F.lit(" \t\r\f\x0b"))
+def normal(line: Column, fold: bool = False) -> Column:
+    """What lines are compared by: no white space around; lower case with ``fold``."""
+    line = F.trim(line, F.lit(" \t\r\f\x0b"))
+    return F.lower(line) if fold else line
 
 
 def shingles(line: str) -> Column:
+    """The distinct shingles of a line, at every character; a line shorter than a shingle is one."""
+    return F.when(F.char_length(line) <= SHINGLE, F.array(line)).otherwise(F.array_distinct(F.regexp_extract_all(line, F.lit(EVERY), F.lit(1))))
+
+
+def anchored(line: str) -> Column:
     """The distinct anchored shingles of a line."""
     return F.array_distinct(F.regexp_extract_all(line, F.lit(ANCHORED), F.lit(1)))
 
 
-def signature(line: str) -> Column:
+def signature(line: str, of=anchored) -> Column:
     """The SIGNATURE smallest hashes of a line's shingles, sorted."""
-    return F.slice(F.sort_array(F.transform(shingles(line), lambda x: F.xxhash64(x))), 1, SIGNATURE)
+    return F.slice(F.sort_array(F.transform(of(line), lambda x: F.xxhash64(x))), 1, SIGNATURE)
 
 
 def bands(signature: str) -> Column:
@@ -59,11 +71,21 @@ def bands(signature: str) -> Column:
     return F.expr(f"if(size({signature}) < {RUN}, array(xxhash64({signature})), transform(sequence(1, size({signature}) - {RUN - 1}), i -> xxhash64({run})))")
 
 
-def lines_of(docs: DataFrame, id: str, text: str) -> DataFrame:
+def line_bands(line: str) -> tuple[dict[str, Column], Column]:
+    """Columns of the signatures that a line of its length has, and all bands of these columns."""
+    shortest, longest = SHORT
+    n = F.char_length(line)
+    far, every = n >= shortest, n < longest
+    none = F.array().cast("array<long>")
+    signatures = {"_far": F.when(far, signature(line)), "_every": F.when(every, signature(line, shingles))}
+    return signatures, F.concat(F.when(far, bands("_far")).otherwise(none), F.when(every, bands("_every")).otherwise(none))
+
+
+def lines_of(docs: DataFrame, id: str, text: str, fold: bool = False) -> DataFrame:
     """(id, tkey, pos, norm): every line; tkey tells texts of equal ids apart."""
     rows = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text")).where("text is not null")
     rows = rows.select("id", F.xxhash64("text").alias("tkey"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return rows.select("id", "tkey", "pos", normal(F.col("line")).alias("norm"))
+    return rows.select("id", "tkey", "pos", normal(F.col("line"), fold).alias("norm"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -101,18 +123,19 @@ def _prefix_pairs(late: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select(F.col("lidx").alias("x"), F.col("lidy").alias("y")).distinct()
 
 
-def line_components(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+def line_components(docs: DataFrame, id: str = "doc_id", text: str = "text", fold: bool = False) -> DataFrame:
     """(id, tkey, pos, component, kept): every line that is not blank.
 
     Lines are equal if normal() makes them equal, and near if their shingle sets reach SIMILAR and they are compared:
-    they share a band (at a similarity of exactly 0.8 some 94 of 100 pairs do, at 0.9 all but a few of 1000), however
-    many lines it has.  ``kept`` marks
+    they share a band (at a similarity of 0.8 to 0.9 some 97 of 100 pairs do, from 0.9 on all but a few of 1000), however
+    many lines it has.  ``fold`` compares without case.  ``kept`` marks
     the first line of a component by id (null first), text hash and place.  Null and empty texts have no lines;
     rows that repeat both id and text share their lines' fate.  A line's key is its 64-bit hash.
     """
-    occurrences = lines_of(docs, id, text)
+    occurrences = lines_of(docs, id, text, fold)
     occurrences = occurrences.where("norm <> ''").withColumn("lid", F.xxhash64("norm"))
-    marks = stored(occurrences.withColumn("s", signature("norm")).withColumn("bands", bands("s")).drop("s"), "lines")
+    signatures, all_bands = line_bands("norm")
+    marks = stored(occurrences.withColumns(signatures).withColumn("bands", all_bands).drop(*signatures), "lines")
 
     posted = marks.select("lid", F.explode("bands").alias("band"))
     shared = posted.groupBy("band").agg(F.min("lid").alias("lo"), F.max("lid").alias("hi")).where("lo <> hi").select("band")
@@ -154,13 +177,13 @@ def line_components(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     return out.select("id", "tkey", "pos", "component", place.eqNullSafe(F.col("keep")).alias("kept"))
 
 
-def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with each component's lines removed but for the first; all columns stay.
+def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", fold: bool = True) -> DataFrame:
+    """docs with each component's lines removed but for the first; all columns stay.  ``fold`` compares without case.
 
     Blank lines stay.  A document that loses a line and has no line left that is not blank is dropped; one
     without any such line from the start (null, empty, blank) stays.
     """
-    lines = line_components(docs, id, text)
+    lines = line_components(docs, id, text, fold)
     fates = F.array_sort(F.collect_list(F.struct("pos", "kept"))).alias("_fates")
     fates = lines.groupBy(F.col("id").alias("_fate_id"), F.col("tkey").alias("_fate_key")).agg(fates).where(F.exists("_fates", lambda x: ~x["kept"]))
     key = F.xxhash64(docs[text].cast("string"))
@@ -177,5 +200,5 @@ def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
 def op5_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component and fate of every line of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = line_components(docs)
+    out = line_components(docs, fold=True)
     return out.select(F.col("id").alias("doc_id"), F.col("pos").alias("line_no"), F.col("component").alias("component_id"), "kept")

@@ -161,6 +161,10 @@ def test_vectors(spark):
     assert all(r["kept"] == (r["component_id"] == i) for i, r in got.items())
 
 
+def plain_shingles(line, n=9):
+    return {line[i : i + n] for i in range(max(1, len(line) - n + 1))}
+
+
 def test_large_line_buckets_are_searched_exactly(spark):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
@@ -171,14 +175,40 @@ def test_large_line_buckets_are_searched_exactly(spark):
         lines += [template + " ".join(tail), template + " ".join([*tail[:-1], tail[-1][:-1] + "z"])]
     df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
     got = {r["id"]: r["component"] for r in linededup.line_components(df).collect()}
-    sizes = spark.createDataFrame([(x,) for x in lines], "norm string").withColumn("s", linededup.signature("norm")).select(F.explode(linededup.bands("s")).alias("b")).groupBy("b").count()
+    signatures, bands = linededup.line_bands("norm")
+    sizes = df.select(F.col("text").alias("norm")).withColumns(signatures).select(F.explode(bands).alias("b")).groupBy("b").count()
     assert sizes.agg(F.max("count")).first()[0] > linededup.SMALL
     assert sum(got[i] == got[i + 1] for i in range(0, 300, 2)) >= 149
     # the search itself misses no pair
     texts = df.select(F.xxhash64("text").alias("lid"), F.col("text").alias("norm"))
     pairs = {(r["x"], r["y"]) for r in linededup._prefix_pairs(texts.select("lid", F.col("lid").alias("c")), texts).collect()}
     keys = {r["norm"]: r["lid"] for r in texts.collect()}
-    sets = {k: set(r["s"]) for r in texts.withColumn("s", linededup.shingles("norm")).collect() for k in [r["norm"]]}
+    sets = {x: plain_shingles(x) for x in lines}
     near = [(a, b) for i, a in enumerate(lines) for b in lines[i + 1 :] if a != b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     assert len(near) >= 100
     assert {(max(keys[a], keys[b]), min(keys[a], keys[b])) for a, b in near} <= pairs
+
+
+def test_lines_by_plain_shingles(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("etaoinshrdlu\u00e9\U0001f600") for _ in range(rng.randint(2, 8)))
+    lines = []
+    for k in range(240):
+        a = " ".join(word() for _ in range(rng.randint(2, 20)))
+        b = list(a)
+        if k % 4 == 0:
+            b.append(".")
+        else:
+            b[rng.randrange(len(b))] = "z"
+        lines += [a, "".join(b)]
+    lines += ["THE WHOLE OF THIS LINE is shouted", "the whole of this line IS SHOUTED", "ONE", "one"]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r["id"]: r["component"] for r in linededup.line_components(df, fold=True).collect()}
+    sets = [plain_shingles(x.lower()) for x in lines]
+    near = [len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1]) for i in range(0, len(lines), 2)]
+    found = [got[i] == got[i + 1] for i in range(0, len(lines), 2)]
+    assert not any(f and not n for f, n in zip(found, near, strict=True))
+    assert sum(found) >= 0.97 * sum(near) and near[-1] and near[-2] and found[-1] and found[-2]
+    narrow = [(x, set(re.findall(linededup.ANCHORED, lines[i])), set(re.findall(linededup.ANCHORED, lines[i + 1]))) for i, x in zip(range(0, len(lines), 2), near, strict=True)]
+    assert sum(x and len(a & b) < 0.8 * len(a | b) for x, a, b in narrow) >= 20  # those that anchors alone call different
+    assert {tuple(sorted(r["s"])) for r in df.select(linededup.shingles("text").alias("s")).collect()} == {tuple(sorted(plain_shingles(x))) for x in lines}
