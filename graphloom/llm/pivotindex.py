@@ -52,7 +52,9 @@ def choose_pivots(reps: DataFrame, n: int, vector: str) -> np.ndarray:
     """Reference points from a sample of distinct vectors that depends on their values alone (the smallest hashes).
 
     The sample has OVERSAMPLE vectors for each pivot wanted.  A vector near a pivot (cosine of APART or more) is
-    passed over, so that a group of near copies has one pivot, however large a share of the vectors it is.
+    passed over, so that a group of near copies has one pivot, however large a share of the vectors it is.  Where
+    fewer than NEAREST lie apart, sampled vectors that were passed over fill up to as many: each time the one whose
+    largest cosine to the chosen ones is smallest.
     """
     count = max(LEAST_PIVOTS, min(MOST_PIVOTS, math.isqrt(n)))
     rows = reps.select(vector).orderBy(F.xxhash64(vector), vector).limit(OVERSAMPLE * count).collect()
@@ -65,6 +67,13 @@ def choose_pivots(reps: DataFrame, n: int, vector: str) -> np.ndarray:
         chosen.append(i)
         free &= x @ x[i] < APART
         free[i] = False
+    near = (x @ x[chosen].T).max(axis=1)
+    near[chosen] = np.inf
+    while len(chosen) < min(NEAREST, len(x)):
+        i = int(np.argmin(near))
+        chosen.append(i)
+        near = np.maximum(near, x @ x[i])
+        near[i] = np.inf
     return x[chosen]
 
 
@@ -135,6 +144,8 @@ def cosine_links(reps: DataFrame, n: int, vector: str = "vec", least: float = 0.
     pivots = choose_pivots(reps, n, vector)
     if not len(pivots):
         return reps.sparkSession.createDataFrame([], "rid long, links long, star long")
+    # with few pivots to tell vectors apart, every vector is near all of them: all pairs are candidates
+    shared = min(shared, len(pivots))
     described = stored(with_permutation(reps, pivots, vector, nearest).select("rid", "w", F.col(vector).alias("vec"), "perm"), "perms")
     lengths = described.select(F.explode("perm").alias("p")).groupBy("p").count().collect()
     blocks = [1] * len(pivots)

@@ -212,3 +212,19 @@ def test_lines_by_plain_shingles(spark):
     narrow = [(x, set(re.findall(linededup.ANCHORED, lines[i])), set(re.findall(linededup.ANCHORED, lines[i + 1]))) for i, x in zip(range(0, len(lines), 2), near, strict=True)]
     assert sum(x and len(a & b) < 0.8 * len(a | b) for x, a, b in narrow) >= 20  # those that anchors alone call different
     assert {tuple(sorted(r["s"])) for r in df.select(linededup.shingles("text").alias("s")).collect()} == {tuple(sorted(plain_shingles(x))) for x in lines}
+
+
+def test_few_pivots_lie_apart(spark):
+    rng = np.random.default_rng(4)
+    axis = np.eye(16)[0]
+    two = np.array([axis, axis + 0.01])
+    groups = np.concatenate([np.eye(16)[k] + rng.normal(size=(30, 16)) * 0.03 for k in (0, 1)])
+    cone = axis + rng.normal(size=(400, 16)) * 0.11  # nearly all cosines exceed 0.8, part of them 0.9
+    for x, least in ((two, 1), (groups, 1), (cone, 0.9)):
+        x = x.astype(np.float32)
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+        got = {r["vec_id"]: r["n_links"] for r in pivotindex.near_vectors(df).collect()}
+        unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+        brute = (unit @ unit.T >= 0.9).sum(axis=1) - 1
+        assert all(got[i] <= n for i, n in enumerate(brute))
+        assert sum(got.values()) >= least * brute.sum() > 0
