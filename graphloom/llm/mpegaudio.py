@@ -85,13 +85,22 @@ def read_tags(data: bytes) -> tuple[dict[str, str], int, int]:
                 code = {0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(body[0], "latin-1")
                 tags[data[at : at + 4].decode("latin-1")] = body[1:].decode(code, "replace").strip("\0")
             at += 10 + size
-    if end - start >= 128 and data[end - 128 : end - 125] == b"TAG":
+    if end - start >= 128 and data[end - 128 : end - 125] == b"TAG" and not _in_frame(data, start, end):
         for name, a, b in (("TIT2", 3, 33), ("TPE1", 33, 63), ("TALB", 63, 93)):
             tags.setdefault(name, data[end - 128 + a : end - 128 + b].split(b"\0")[0].decode("latin-1").strip())
         end -= 128
     return tags, start, end
 
 
+def _in_frame(data: bytes, start: int, end: int) -> bool:
+    """Whether the place of an ID3v1 tag is inside a whole frame, with frames up to the file's very end."""
+    last, inside = start, False
+    for at, f, _ in walk(data, start, end):
+        last = at + f[0]
+        inside |= at < end - 128 < last
+    return inside and last == end
+
+
 def _next_frame(data: bytes, at: int, end: int) -> int:
     """The next offset from ``at`` whose header is followed by another header, or that ends the file; ``end`` if none."""
     while 0 <= (at := data.find(b"\xff", at, end)):

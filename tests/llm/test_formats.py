@@ -144,3 +144,17 @@ def test_urls(spark):
     none = urlfilter.judge_urls(df, spark.createDataFrame([], "rule string, verdict string"))
     assert {r["verdict"] for r in none.collect()} == {"allow"}
     assert urlfilter.judge_urls(df.limit(0), urlfilter.rule_table(spark, urlfilter.RULES)).count() == 0
+
+
+def test_the_letters_tag_in_the_last_frame_are_no_tag():
+    for n in (200, 1500):
+        for back in range(1, 200):
+            payload = bytearray(b"x" * n)
+            payload[n - back : n - back + 3] = b"TAG"[:back]
+            assert mpegaudio.load_bytes(mpegaudio.store_bytes(bytes(payload))) == bytes(payload)
+    for n in range(1, 1200, 7):
+        payload = b"TAG" * n
+        assert mpegaudio.load_bytes(mpegaudio.store_bytes(payload)) == payload
+    stored = mpegaudio.store_bytes(b"x" * 1500)
+    info = mpegaudio.parse_mpeg(stored.replace(b"TIT2", b"XXXX") + b"TAG" + b"name".ljust(30, b"\0") + bytes(95))
+    assert info["tags"]["TIT2"] == "name" and info["bytes_skipped"] == 0
