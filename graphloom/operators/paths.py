@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from itertools import count
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,8 +23,8 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def shortest_paths(graph: Graph, type: str, pairs: DataFrame, direction: str = OUT, most: int = MOST_HOPS) -> DataFrame:
-    """(source, target, hops, nodes) for the pairs (source, target) that a path of at most ``most`` edges joins.
+def shortest_paths(graph: Graph, type: str, pairs: DataFrame, direction: str = OUT, most: int | None = None) -> DataFrame:
+    """(source, target, hops, nodes) for the pairs (source, target) that a path of at most ``most`` edges (None: any number) joins.
 
     All pairs are searched together; a level keeps one path to each new node of each source (the one whose node
     list is smallest), and the search ends when every pair is answered or no node is new.
@@ -32,7 +33,7 @@ def shortest_paths(graph: Graph, type: str, pairs: DataFrame, direction: str = O
     pairs = pairs.select("source", "target").distinct()
     seen = _cut(pairs.select("source").distinct().select("source", F.col("source").alias("end"), F.lit(0).alias("hops"), F.array("source").alias("nodes")))
     level = seen
-    for n in range(1, most + 1):
+    for n in count(1) if most is None else range(1, most + 1):
         step = level.join(edges, F.col("end") == F.col("_s")).select("source", F.col("_d").alias("end"), F.lit(n).alias("hops"), F.concat("nodes", F.array("_d")).alias("nodes"))
         step = step.groupBy("source", "end").agg(F.min("hops").alias("hops"), F.min("nodes").alias("nodes"))
         level = _cut(step.join(seen.select("source", "end"), ["source", "end"], "left_anti"))

@@ -155,3 +155,11 @@ def test_search_and_schema(spark):
     more = g.with_table("docs", docs.limit(2))
     assert [cache.change("g", x) for x in (g, g, more, g.with_table("docs", docs.drop("text")))] == ["no_cache", "unchanged", "stats_changed", "shape_changed"]
     assert Pattern(g, match(g, "Doc", "d").df, "d").df.count() == 4
+
+
+def test_shortest_paths_have_no_bound_by_default(spark):
+    edges = spark.createDataFrame([(i, i, i + 1) for i in range(12)], "k long, a long, b long")
+    g = Graph({"edges": edges}, {}, {"NEXT": EdgeType("edges", "a", "b", "k")})
+    pairs = spark.createDataFrame([(0, 12), (12, 0)], "source long, target long")
+    assert [(r["target"], r["hops"]) for r in paths.shortest_paths(g, "NEXT", pairs).collect()] == [(12, 12)]
+    assert paths.shortest_paths(g, "NEXT", pairs, most=11).count() == 0
