@@ -168,10 +168,10 @@ def plain_shingles(line, n=9):
 def test_large_line_buckets_are_searched_exactly(spark):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
-    template = "The undersigned hereby confirms to the authority that "
+    template = "The undersigned hereby confirms to the authority that " + " ".join(word() for _ in range(25)) + " "
     lines = []
     for _ in range(150):  # small near groups in the template's buckets
-        tail = [word() for _ in range(7)]
+        tail = [word() for _ in range(12)]
         lines += [template + " ".join(tail), template + " ".join([*tail[:-1], tail[-1][:-1] + "z"])]
     df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
     got = {r["id"]: r["component"] for r in linededup.line_components(df).collect()}
