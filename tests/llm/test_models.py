@@ -101,6 +101,36 @@ def test_viterbi_is_the_best_path():
     assert toxicity.decode(token, model) == word
 
 
+def test_long_disguises_are_decoded_whole():
+    model = chars(["idiot", "moron", "trash", "scum", "hello", "world", "loser", "the"])
+    for disguised in ("1d1" + "0" * 60 + "t", "idio" + "o" * 60 + "t", "i" * 60 + "d1ot", "i---" + "d-" * 1 + "-" * 60 + "i-o-t"):
+        assert "idiot" in toxicity.Restorer(model).token(disguised), disguised
+    spelled = " ".join("idiot" * 20)
+    assert toxicity.Restorer(model).words(spelled) >= {"idiot" * 20}
+    assert toxicity.decode("m0r0n" * 400, model) == "moron" * 400
+
+
+def test_trigrams_of_all_letters_count(spark):
+    docs = spark.createDataFrame([("héé 漢字漢字 Ωμέγα abc abc",), (None,), ("",)], "text string")
+    model, plain = toxicity.char_model(docs), {}
+    for w in ("héé", "漢字漢字", "ωμέγα", "abc", "abc"):
+        w = "^^" + w + "^"
+        for i in range(len(w) - 2):
+            plain[w[i : i + 3]] = plain.get(w[i : i + 3], 0) + 1
+    want = toxicity.CharModel(plain)
+    assert all((getattr(model, t) == getattr(want, t)).all() for t in ("tri", "pair", "single"))
+    import pickle
+
+    again = pickle.loads(pickle.dumps(model))
+    assert again.logp("字", "^漢") == model.logp("字", "^漢") > model.logp("x", "^漢")
+
+
+def test_toxicity_without_documents(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert toxicity.op4_toxicity(spark, str(tmp_path)).count() == 0
+
+
 @tables
 def test_toxicity_held_out(spark):
     got = toxicity.op4_toxicity(spark, FOLDER)
