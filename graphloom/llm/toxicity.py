@@ -281,8 +281,11 @@ class ToxicityModel:
     _said: dict[str, tuple[str, ...]] = field(default_factory=dict, repr=False)
 
     def _says(self, token: str) -> tuple[str, ...]:
-        """The words of a token that have a weight; most have none."""
-        got = tuple(w for w in self.chars.restorer.token(token) if self._weigh(w) > 0)
+        """The words of a token that have a weight; most have none, which their first letters tell."""
+        if token.isalpha() and token[:SHORTEST_STEM] not in self._starts and not REPEAT.search(token):
+            got = ()
+        else:
+            got = tuple(w for w in self.chars.restorer.token(token) if self._weigh(w) > 0)
         if len(self._said) >= CACHE:
             self._said.clear()
         self._said[token] = got
@@ -291,6 +294,7 @@ class ToxicityModel:
     def score(self, text: str | None) -> float:
         if not hasattr(self, "_weigh"):  # kept as long as the worker has the model
             self._weigh = weigher(self.weights)
+            self._starts = {f.removesuffix("$")[:SHORTEST_STEM] for f in self.weights}
         tokens = (text or "").lower().split()
         different, said = set(tokens), self._said
         try:
