@@ -7,7 +7,9 @@ fill its window in order of their scores, and the one that does not fit is cut a
 
 from __future__ import annotations
 
+import json
 import math
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -30,37 +32,74 @@ CACHE = 1_200_000
 #: ASCII signs that end words; behind a letter they are tokens of their own.
 SIGNS = ".,;:!?|*%$#&)\""
 
+#: Words whose letters normalisation leaves alone but for case (the dotted capital I would become two characters).
+LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+#: Stands for a word's end where words of letters are encoded.
+WORD_END = b"\n"
+
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
+def _bytes_of_letters() -> dict[str, int]:
+    """Byte-level vocabularies write printable bytes as themselves and the others as letters from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
+
+
+@lru_cache(4)
+def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
+    """A function from lower-case words of LATIN to their ids, by merging bytes as the tokenizer's file says.
+
+    The merges' order ranks the joined bytes.  A word's last byte is joined with its end mark before all else.  Words
+    are encoded as one text and told apart by the ids that end a word.
+    """
+    import tiktoken
+
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    end, byte = model["end_of_word_suffix"], _bytes_of_letters()
+    raw = lambda token: bytes(byte[c] for c in token.removesuffix(end)) + WORD_END * token.endswith(end)
+    singles = [bytes([b]) for b in range(256)]
+    order = [*singles, *(b + WORD_END for b in singles), *(raw(a) + raw(b) for a, b in model["merges"])]
+    ranks = {}
+    for token in order:
+        ranks.setdefault(token, len(ranks))
+    number = {raw(token): i for token, i in model["vocab"].items()}
+    ids = np.array([number.get(token, 0) for token in ranks], "<u4")
+    ends = np.array([token.endswith(WORD_END) for token in ranks])
+    core = tiktoken.Encoding("words", pat_str=r"[^\n]+\n", mergeable_ranks=ranks, special_tokens={})
+
+    def encode(words: list[str]) -> list[bytes]:
+        if not words:
+            return []
+        found = core.encode_to_numpy("\n".join(words) + "\n", disallowed_special=())
+        last, data = (4 * np.flatnonzero(ends[found]) + 4).tolist(), ids[found].tobytes()
+        return [data[i:j] for i, j in zip([0, *last], last, strict=False)]
+
+    return encode
+
+
 @lru_cache(4)
 def encoder(name: str = TOKENIZER) -> Callable[[str | None], bytes]:
     """A function from a text to its ids (little-endian 32 bit) as the public tokenizer gives them.
 
     The tokenizer never joins across a blank or a line feed, so words are encoded once and kept as long as the
-    worker lives.  A word of letters is one pre-token, whose last id ends a word; many such words are encoded
-    as one text and told apart by those ids.
+    worker lives.  A word of Latin letters is one pre-token, which merging its bytes encodes; the tokenizer itself
+    encodes all others.
     """
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(name if "/" in name else public_tokenizers.path(name))
-    ends = np.zeros(tokenizer.get_vocab_size(), bool)
-    ends[[i for w, i in tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
+    path = name if "/" in name else public_tokenizers.path(name)
+    tokenizer, of_letters = Tokenizer.from_file(path), word_encoder(path)
     cache: dict[str, bytes] = {"": b""}
 
     def fresh(words: list[str]) -> None:
-        plain = [w for w in words if w.isalpha()]
-        others = [w for w in words if not w.isalpha()]
-        for at in range(0, len(plain), 4096):
-            part = plain[at : at + 4096]
-            ids = np.array(tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            last = (np.flatnonzero(ends[ids]) + 1).tolist()
-            if len(last) != len(part):  # letters that the tokenizer sees otherwise
-                others += part
-                continue
-            data = ids.tobytes()
-            cache.update(zip(part, (data[4 * i : 4 * j] for i, j in zip([0, *last], last, strict=False)), strict=True))
+        latin = [w for w in words if LATIN.fullmatch(w)]
+        others = [w for w in words if not LATIN.fullmatch(w)]
+        for at in range(0, len(latin), 1 << 14):
+            part = latin[at : at + (1 << 14)]
+            cache.update(zip(part, of_letters([w.lower() for w in part]), strict=True))
         for w, e in zip(others, tokenizer.encode_batch(others, add_special_tokens=False), strict=True):
             cache[w] = np.array(e.ids, "<u4").tobytes()
 
