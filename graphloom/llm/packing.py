@@ -1,8 +1,10 @@
 """Lexical retrieval packing of documents into token windows.
 
-Documents are tokenised once and dealt by hash into shards of bounded size.  Each shard has a BM25 inverted
-index, with document frequencies and the mean length of the whole corpus; a seed document's unused neighbours
-fill its window in order of their scores, and the one that does not fit is cut and seeds the next window.
+Documents are tokenised once and dealt by content into shards of bounded size: a weighted MinHash of a document's
+terms orders the corpus, and shards are ranges of that order, so that documents that share terms meet whatever the
+number of shards.  Each shard has a BM25 inverted index, with document frequencies and the mean
+length of the whole corpus; a seed document's unused neighbours fill its window in order of their scores, and the one
+that does not fit is cut and seeds the next window.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -135,23 +138,47 @@ def encoder(name: str = TOKENIZER) -> Callable[[str | None], bytes]:
     return encode
 
 
+class Order:
+    """Places a document among others by the two terms of it that come first in a random order of all terms.
+
+    Terms that the vocabulary learned late, which are rarer, come earlier in that order (weighted MinHash): of two
+    documents that share most of their rare terms, the same terms come first.
+    """
+
+    def __init__(self):
+        self.place = np.zeros(0)
+
+    def __call__(self, ids: np.ndarray) -> int:
+        terms = np.unique(ids)
+        if int(terms[-1]) >= len(self.place):
+            n = 2 * int(terms[-1]) + 2
+            weight = (1 + np.log1p(np.arange(n) / 256)) ** 3
+            self.place = np.log(np.random.default_rng(1).random(n)) / -weight
+        own = self.place[terms]
+        if len(terms) == 1:
+            return int(terms[0]) << 31
+        first, second = np.argpartition(own, 1)[:2]
+        return int(terms[first]) << 31 | int(terms[second])
+
+
 def tokens(docs: DataFrame, id: str = "doc_id", text: str = "text", name: str = TOKENIZER, end: int = END) -> DataFrame:
-    """(doc_id, ids): each document's ids with ``end`` behind them; null texts are empty."""
-    schema = arrow_schema("doc_id long, ids binary")
+    """(doc_id, near, ids): each document's ids with ``end`` behind them, and its place in Order; null texts are empty."""
+    schema = arrow_schema("doc_id long, near long, ids binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, tail = encoder(name), np.array([end], "<u4").tobytes()
+        encode, order, tail = encoder(name), Order(), np.array([end], "<u4").tobytes()
         for b in batches:
             rows, held = [], 0
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                rows.append((doc, encode(text.as_py()) + tail))
-                held += len(rows[-1][1])
+                ids = encode(text.as_py()) + tail
+                rows.append((doc, order(np.frombuffer(ids, "<u4")), ids))
+                held += len(ids)
                 if held > 16 << 20:
                     yield batch(rows, schema)
                     rows, held = [], 0
             yield batch(rows, schema)
 
-    return docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, near long, ids binary")
 
 
 def term_documents(held: DataFrame) -> DataFrame:
@@ -234,12 +261,16 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int
                 seed, start = best, n
 
 
-def pack(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = WINDOW, name: str = TOKENIZER, end: int = END) -> DataFrame:
+def pack(
+    docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = WINDOW, name: str = TOKENIZER, end: int = END, shard_tokens: int = SHARD_TOKENS
+) -> DataFrame:
     """PIECES: where each run of a document's ids lies in the packed sequences.
 
     Every id lies in one piece.  Sequences are full but for the last of each shard.  Null and empty texts are
-    the end id alone; rows that repeat an id are packed each; an empty table gives no pieces.  The driver gets
-    a number for each term of the tokenizer's fixed vocabulary, and two totals.
+    the end id alone; rows that repeat an id, or id and text, are packed each and split over shards where they are
+    many; an empty table gives no pieces.  Ties among scores go to the document that is first by place in the order
+    of contents, id (null first) and ids.  The driver gets a number for each term of the tokenizer's fixed vocabulary,
+    and two totals.
     """
     held = stored(tokens(docs, id, text, name, end), "tokens")
     n, total = held.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("ids")), F.lit(0)) / 4).first()
@@ -247,24 +278,25 @@ def pack(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int =
     idf = np.zeros(max([0, *(r["term"] for r in counted)]) + 1)
     for r in counted:
         idf[r["term"]] = math.log(1 + (n - r["df"] + 0.5) / (r["df"] + 0.5))
-    mean, shards = (total / n if n else 1.0), max(1, math.ceil(total / SHARD_TOKENS))
+    mean, shards = (total / n if n else 1.0), max(1, math.ceil(total / shard_tokens))
     shared = docs.sparkSession.sparkContext.broadcast(idf)
     schema = arrow_schema(f"{PIECES}")
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table.column("doc_id").to_pylist(), table.column("ids").to_pylist(), strict=True), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
-        parts = [np.frombuffer(r[1], "<u4") for r in rows]
-        pieces = [
-            (rows[d][0], start, length, rows[d][1][4 * start : 4 * (start + length)], len(parts[d]), key[0].as_py() << 32 | sequence, offset)
-            for d, start, length, sequence, offset in pack_shard(parts, shared.value, mean, window)
-        ]
-        return pa.Table.from_batches([batch(pieces, schema)])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [row for b in batches for row in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)]
+        rows.sort(key=lambda r: (r[1], r[0] is not None, r[0] or 0, r[2]))
+        parts = [np.frombuffer(r[2], "<u4") for r in rows]
+        shard, pieces = TaskContext.get().partitionId() << 32, []
+        for d, start, length, sequence, offset in pack_shard(parts, shared.value, mean, window) if rows else ():
+            pieces.append((rows[d][0], start, length, rows[d][2][4 * start : 4 * (start + length)], len(parts[d]), shard | sequence, offset))
+        yield batch(pieces, schema)
 
-    dealt = held.withColumn("shard", F.pmod(F.xxhash64("doc_id", "ids"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInArrow(run, PIECES)
+    # a row's number splits documents of one place; a shard is a partition, and a task holds it
+    dealt = held.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(shards, "near", "row")
+    return dealt.select("doc_id", "near", "ids").mapInArrow(run, PIECES)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents packed into windows of 2048 tokens, with a checksum of each piece."""
+    """All documents packed into windows of 2048 tokens, with a checksum of each piece; edge cases as in pack()."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return pack(docs).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

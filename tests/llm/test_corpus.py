@@ -99,6 +99,42 @@ def test_packs_every_token_once(spark):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_shards_split_repeated_rows_and_keep_neighbours(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    rng = np.random.default_rng(8)
+    topics = [["".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(60)] for _ in range(12)]
+    rows = [(i, " ".join(rng.choice(topics[i % 12], 80))) for i in range(240)] + [(500, "the same row again and again " * 10)] * 300 + [(600, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = {}
+    for doc, text in rows:
+        want.setdefault(doc, []).append([*tokenizer.encode(text or "", add_special_tokens=False).ids, 1])
+    total = sum(len(x) for v in want.values() for x in v)
+    pieces = packing.pack(docs, window=512, shard_tokens=total // 8).collect()
+    tokens, sequences = check_pieces(pieces, want, 512)
+    shards = {r["sequence_id"] >> 32 for r in pieces}
+    assert tokens == total and len(shards) >= 6 and sequences <= -(-tokens // 512) + len(shards)
+    assert len({r["sequence_id"] >> 32 for r in pieces if r["doc_id"] == 500}) > 1
+    home = {r["doc_id"]: r["sequence_id"] >> 32 for r in pieces if r["doc_id"] is not None and r["doc_id"] < 240}
+    together = np.mean([home[a] == home[b] for a in home for b in home if a < b and a % 12 == b % 12])
+    apart = np.mean([home[a] == home[b] for a in home for b in home if a % 12 != b % 12])
+    assert together > 1.3 * apart
+
+
+def test_words_of_letters_are_merged_as_the_tokenizer_does():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(packing.TOKENIZER)
+    rng = np.random.default_rng(3)
+    letters = [c for c in map(chr, range(0x41, 0x250)) if packing.LATIN.fullmatch(c)]
+    words = letters + ["".join(rng.choice(letters, rng.integers(1, 12))) for _ in range(3000)] + ["".join(rng.choice(list("etaoinshrdlu"), rng.integers(1, 40))) for _ in range(3000)]
+    want = [np.array(e.ids, "<u4").tobytes() for e in Tokenizer.from_file(path).encode_batch(words, add_special_tokens=False)]
+    assert packing.word_encoder(path)([w.lower() for w in words]) == want
+
+
 def test_encodes_as_the_tokenizer_does():
     import public_tokenizers
     from tokenizers import Tokenizer
