@@ -28,6 +28,8 @@ TOKENIZER = "word_bpe_49k.json"
 WINDOW, END = 2048, 1
 #: Tokens of a shard, about; a task holds one shard.
 SHARD_TOKENS = 2_000_000
+#: Terms that more than one in DENSE of a shard's documents have are kept as rows of a matrix.
+DENSE = 8
 #: BM25's usual constants.
 K1, B = 1.2, 0.75
 #: Words whose ids a worker keeps, about.
@@ -149,16 +151,15 @@ class Order:
         self.place = np.zeros(0)
 
     def __call__(self, ids: np.ndarray) -> int:
-        terms = np.unique(ids)
-        if int(terms[-1]) >= len(self.place):
-            n = 2 * int(terms[-1]) + 2
+        most = int(ids.max())
+        if most >= len(self.place):
+            n = 2 * most + 2
             weight = (1 + np.log1p(np.arange(n) / 256)) ** 3
             self.place = np.log(np.random.default_rng(1).random(n)) / -weight
-        own = self.place[terms]
-        if len(terms) == 1:
-            return int(terms[0]) << 31
-        first, second = np.argpartition(own, 1)[:2]
-        return int(terms[first]) << 31 | int(terms[second])
+        own = self.place[ids]
+        first = int(ids[own.argmin()])
+        own[ids == first] = np.inf
+        return first << 31 | int(ids[own.argmin()])
 
 
 def tokens(docs: DataFrame, id: str = "doc_id", text: str = "text", name: str = TOKENIZER, end: int = END) -> DataFrame:
@@ -211,18 +212,29 @@ class Index:
         length = np.array([len(d) for d in docs], float)
         norm = K1 * (1 - B + B * length / mean)
         weight = idf[term] * tf * (K1 + 1) / (tf + norm[doc])
+        self.count = len(docs)
+        # a term that many documents have is a row of a matrix, the others have lists; the matrix has as many
+        # rows as DENSE times a document's distinct terms at most
+        df = np.bincount(term, minlength=1)
+        often = np.flatnonzero(df * DENSE > len(docs))
+        self.row = np.full(len(df), -1)
+        self.row[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), len(docs)))
+        rare = self.row[term] < 0
+        self.dense[self.row[term[~rare]], doc[~rare]] = weight[~rare]
+        term, doc, weight = term[rare], doc[rare], weight[rare]
         order = np.argsort(term, kind="stable")
         self.doc, self.weight = doc[order], weight[order]
-        self.vocabulary, self.first = np.unique(term[order], return_index=True)
-        self.last = np.append(self.first[1:], len(order))
-        self.count = len(docs)
+        self.end = np.cumsum(np.bincount(term, minlength=len(df)))
 
     def scores(self, seed: int) -> np.ndarray:
         """The BM25 score of every document for the seed's distinct terms."""
-        at = np.searchsorted(self.vocabulary, self.terms[seed])
-        first, n = self.first[at], self.last[at] - self.first[at]
-        rows = np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        return np.bincount(self.doc[rows], self.weight[rows], self.count)
+        rows = self.row[self.terms[seed]]
+        terms = self.terms[seed][rows < 0]
+        first = np.where(terms, self.end[terms - 1], 0)
+        n = self.end[terms] - first
+        post = np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
+        return self.dense[rows[rows >= 0]].sum(axis=0) + np.bincount(self.doc[post], self.weight[post], self.count)
 
 
 def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WINDOW) -> Iterator[tuple[int, int, int, int, int]]:
