@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.arrowio import HELD, arrow_schema, batch, in_fold, replaced_batches
-from graphloom.llm.shared import stored
+from graphloom.llm.shared import discard, stored
 
 VOCABULARY = "piece_bpe_32k.model"
-#: A run of letters; longer runs are scored in parts of this many letters.
+#: A run of letters and other signs that count as numbers, such as fractions; str.isalpha() tells letters alone.
 LETTERS = re.compile(r"[^\W\d_]+")
-PART = 32
+#: Words of more letters are summed over one by one, with carried and scaled sums, others many at once.
+LONG = 32
 #: Probability of a letter that no piece covers, and what is added to each expected count.
 UNKNOWN, ADDED = 1e-7, 0.05
 ROUNDS = 2
@@ -44,46 +46,110 @@ def vocabulary(name: str = VOCABULARY) -> list[str]:
 
 
 def words(text: str | None) -> list[str]:
-    """The lower-cased runs of letters of a text, cut to parts of at most PART letters; each part counts as a word."""
+    """The lower-cased runs of letters (Unicode category L) of a text."""
     found = LETTERS.findall((text or "").lower())
-    return [w[i : i + PART] for w in found for i in range(0, len(w), PART)] if any(len(w) > PART for w in found) else found
+    if not "".join(found).isalpha():
+        found = ["".join(part) for w in found for letter, part in groupby(w, str.isalpha) if letter]
+    return found
 
 
 class Pieces:
-    """Where pieces occur in words, and sums over all segmentations of many words at once."""
+    """Where pieces occur in words, and sums over all segmentations: of many words at once, or of a word of any length."""
+
+    #: Factor of the rolling hash (odd, 64 bits), and bits of the table that hashes are looked up in.
+    FACTOR, BITS = 0x9E3779B97F4A7C15, 18
 
     def __init__(self, pieces: list[str]):
-        self.number = {q: -1 for p in pieces for q in (p[:n] for n in range(1, len(p)))}
-        self.number |= {p: i for i, p in enumerate(pieces)}
         self.unknown = len(pieces)
+        self.number = {p: i for i, p in enumerate(pieces)}
+        self.longest = max(map(len, pieces), default=1)
+        hashes = {}
+        for p, i in self.number.items():
+            h = 0
+            for c in p:
+                h = (h * self.FACTOR + ord(c) + 1) & (2**64 - 1)
+            hashes[h * self.FACTOR & (2**64 - 1)] = i  # so that the first bits of short pieces differ
+        if len(hashes) < len(pieces):
+            raise ValueError("two pieces have one hash")
+        # sorted hashes, and where each beginning of BITS bits starts among them
+        self.hashes = np.array(sorted(hashes), np.uint64)
+        self.piece = np.array([hashes[h] for h in sorted(hashes)], np.int64)
+        self.start = np.searchsorted(self.hashes, np.arange(1 << self.BITS, dtype=np.uint64) << np.uint64(64 - self.BITS))
+        self.depth = int(np.diff(self.start, append=len(self.hashes)).max(initial=0))
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """The pieces of hashes, -1 where there is none."""
+        h, out = h * np.uint64(self.FACTOR), np.full(len(h), -1)
+        at = self.start[(h >> np.uint64(64 - self.BITS)).astype(np.int64)]
+        for k in range(self.depth):
+            place = np.minimum(at + k, len(self.hashes) - 1)
+            hit = self.hashes[place] == h
+            out[hit] = self.piece[place[hit]]
+        return out
 
     def edges(self, words: list[str]) -> tuple[np.ndarray, ...]:
         """(word, from, to, piece) of all pieces in "▁" + word, in order of their ends and words, and the words' lengths.
 
         A letter that no one-letter piece covers is the piece ``unknown``, and so is the mark, so that a word's
-        start may also be cut as its inside is.
+        start may also be cut as its inside is.  Substrings are found by a rolling hash of 64 bits.
         """
-        get, unknown, out, sizes = self.number.get, self.unknown, [], []
-        add = out.append  # an edge is one number: piece, from and to, 6 bits each for the places
-        for word in words:
-            w = "▁" + word
-            n, before = len(w), len(out)
-            for i in range(n):
-                j = i + 1
-                k = get(w[i])
-                add((unknown if k is None or k < 0 else k) << 12 | i << 6 | j)
-                while k is not None and j < n:
-                    j += 1
-                    k = get(w[i:j])
-                    if k is not None and k >= 0:
-                        add(k << 12 | i << 6 | j)
-            sizes.append(len(out) - before)
-        code = np.array(out, np.int64)
-        j = code & 63
-        order = np.argsort(j.astype(np.int8), kind="stable")
-        code = code[order]
-        x = np.repeat(np.arange(len(words)), sizes)[order]
-        return x, code >> 6 & 63, code & 63, code >> 12, np.fromiter(map(len, words), np.int64, len(words)) + 1
+        n = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        code = np.frombuffer("▁".join(["", *words]).encode("utf-32-le"), "<u4").astype(np.uint64) + np.uint64(1)
+        word = np.repeat(np.arange(len(words)), n)
+        place = np.arange(len(code)) - np.repeat(np.cumsum(n) - n, n)
+        rest = n[word] - place  # letters from a place to the word's end
+        h, at, parts = np.zeros(len(code), np.uint64), np.arange(len(code)), []
+        for size in range(1, self.longest + 1):
+            keep = rest[at] >= size
+            at = at[keep]
+            if not len(at):
+                break
+            h = h[keep] * np.uint64(self.FACTOR) + code[at + size - 1]
+            k = self._find(h)
+            if size == 1:
+                k[k < 0] = self.unknown
+            some = k >= 0
+            parts.append((word[at[some]], place[at[some]], place[at[some]] + size, k[some]))
+        x, i, j, k = (np.concatenate([p[c] for p in parts]) for c in range(4)) if parts else (np.zeros(0, np.int64),) * 4
+        order = np.argsort(j * len(words) + x, kind="stable")
+        return x[order], i[order], j[order], k[order], n
+
+    def long(self, word: str, p: np.ndarray, counted: float | None = None) -> tuple[np.ndarray, tuple | None]:
+        """The log of the summed probabilities of a word of any length, by language; with ``counted`` also (piece, expected count) of its edges.
+
+        Sums are carried from letter to letter and scaled, so that none under- or overflows; only as many as the longest
+        piece has letters are at hand, unless expected counts ask for all.  p has a row for each piece and unknown letters.
+        """
+        w = "▁" + word
+        n, get = len(w), self.number.get
+        into = [[(i, k) for i in range(max(0, j - self.longest), j) if (k := get(w[i:j], self.unknown if j - i == 1 else None)) is not None] for j in range(1, n + 1)]
+
+        def sums(edges: Iterable[list[tuple[int, int]]], near: int) -> tuple[list, np.ndarray]:
+            """Scaled sums at each place and the log of the scale there."""
+            now, scale, out = [np.ones(p.shape[1])], np.zeros(p.shape[1]), []
+            for at, own in enumerate(edges, 1):
+                got = sum(now[i - at + len(now)] * p[k] for i, k in own)
+                top = np.where(got > 0, got, 1.0)
+                now = [x / top for x in now[-near:]] + [np.where(got > 0, 1.0, 0.0)]
+                scale = scale + np.log(top)
+                out.append(scale)
+            return out, scale
+
+        logs, total = sums(into, self.longest)
+        if counted is None:
+            return total, None
+        out = [[] for _ in range(n)]
+        for j, own in enumerate(into, 1):
+            for i, k in own:
+                out[i].append((j, k))
+        back, _ = sums(([(n - j, k) for j, k in out[n - at]] for at in range(1, n + 1)), self.longest)
+        forward, backward = [np.zeros(p.shape[1]), *logs], [np.zeros(p.shape[1]), *back]
+        pieces, shares = [], []
+        for j, own in enumerate(into, 1):
+            for i, k in own:
+                pieces.append(k)
+                shares.append(counted * np.exp(forward[i] + np.log(p[k]) + backward[n - j] - total))
+        return total, (np.array(pieces), np.array(shares))
 
     def forward(self, edges: tuple, p: np.ndarray) -> np.ndarray:
         """[word, place, …]: the summed probabilities of all segmentations up to each place; p has a row for each edge."""
@@ -100,8 +166,14 @@ class Pieces:
 
     def likelihoods(self, words: list[str], p: np.ndarray) -> np.ndarray:
         """[word, language]: log of the summed probabilities; p has a row for each piece, the last for unknown letters."""
-        edges = self.edges(words)
-        return np.log(self.forward(edges, p[edges[3]])[np.arange(len(words)), edges[4]])
+        out, short = np.zeros((len(words), p.shape[1])), [i for i, w in enumerate(words) if len(w) <= LONG]
+        if short:
+            edges = self.edges([words[i] for i in short])
+            out[short] = np.log(self.forward(edges, p[edges[3]])[np.arange(len(short)), edges[4]])
+        for i, w in enumerate(words):
+            if len(w) > LONG:
+                out[i] = self.long(w, p)[0]
+        return out
 
     def expected(self, words: list[str], counts: np.ndarray, p: Callable) -> tuple[np.ndarray, ...]:
         """(word, piece, expected count) of every edge for words that occur ``counts`` times; ``p`` gives the edges' probabilities."""
@@ -215,9 +287,17 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", name: str = VOC
             for b in batches:
                 for at in range(0, b.num_rows, TOGETHER):
                     k, w, n = (b.column(c).slice(at, TOGETHER).to_pylist() for c in range(3))
-                    own = np.array([place[x] for x in k])
-                    x, piece, share = index.expected(w, np.array(n, float), lambda x, piece: now[piece, own[x]])  # noqa: B023
-                    np.add.at(sums, (own[x], piece), share)
+                    for lang, word, count in zip(k, w, n, strict=True):
+                        if len(word) > LONG:
+                            own = place[lang]
+                            piece, share = index.long(word, now[:, own : own + 1], float(count))[1]
+                            np.add.at(sums[own], piece, share[:, 0])
+                    short = [i for i, word in enumerate(w) if len(word) <= LONG]
+                    if not short:
+                        continue
+                    own = np.array([place[k[i]] for i in short])
+                    x, piece, share = index.expected([w[i] for i in short], np.array([n[i] for i in short], float), lambda x, piece: now[piece, own[x]])  # noqa: B023
+                    sums += np.bincount(own[x] * (size + 1) + piece, share, sums.size).reshape(sums.shape)
             lang, piece = np.nonzero(sums[:, :size])
             yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(piece.astype(np.int32)), pa.array(sums[lang, piece])], schema=sums_schema)
 
@@ -226,12 +306,17 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", name: str = VOC
         for r in got:
             p[r["piece"], r["lang"]] += r["c"]
         p[:size] /= p[:size].sum(axis=0)
+    discard(counts)
     n = np.array([totals[k] for k in languages], float)
     return LanguageModel(languages, np.log(n / n.sum()) if len(n) else n, pieces, p)
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """Adds lang_pred and score; ``text`` stays.  Null texts and texts without a letter are ("und", 0)."""
+    """Adds lang_pred and score; ``text`` stays, columns with these names are replaced, others stay.
+
+    Null texts and texts without a letter (Unicode category L) are ("und", 0).  Ties go to the first language by name.
+    Texts and words may have any length; rows that repeat stay and have equal results; no rows give none.
+    """
     return _identified(docs.withColumn("_graphloom_text", F.col(text).cast("string")), model)
 
 
@@ -243,7 +328,10 @@ def _identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The predicted language of every document; rows with crc32 of the id mod 4 = 2 are held out from learning."""
+    """The predicted language of every document; rows with crc32 of the id mod 4 = 2 are held out from learning.
+
+    Rows with a null id are held in and not learned from; texts are told as identify() says.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     learn = docs.where(F.col("doc_id").isNotNull() & ~in_fold("doc_id", 4, 2))
     model = fit(learn)

@@ -48,6 +48,90 @@ def test_sums_over_all_segmentations():
     assert np.allclose(sums, brute)
 
 
+def test_long_words_are_summed_whole():
+    pieces = sorted({"a", "ab", "b", "ba", "abab", "▁a", "▁ab", "bb"})
+    rng = np.random.default_rng(4)
+    p = rng.random((len(pieces) + 1, 2)) * 0.3
+    index, number = langid.Pieces(pieces), {q: i for i, q in enumerate(pieces)}
+
+    def plain(w):
+        w = "▁" + w
+        sums = [np.ones(2)]
+        for j in range(1, len(w) + 1):
+            sums.append(sum((sums[i] * p[k] for i in range(max(0, j - 4), j) if (k := number.get(w[i:j], len(pieces) if j - i == 1 else None)) is not None), np.zeros(2)))
+        return np.log(sums[-1])
+
+    words = ["ab" * 30, "abba" * 20 + "x", "b" * 33, "a" * 32, "ab"]
+    assert np.allclose(index.likelihoods(words, p), [plain(w) for w in words])
+    assert np.isfinite(index.likelihoods(["abz" * 5000], p)).all()
+    few = ["abab", "bxab", "aabb"]
+    for w in few:
+        x, k, share = index.expected([w], np.array([2.0]), lambda x, piece: p[piece, 1])
+        pieces_, shares = index.long(w, p[:, 1:2], 2.0)[1]
+        assert np.allclose(np.bincount(k, share, len(p)), np.bincount(pieces_, shares[:, 0], len(p)))
+
+
+def test_letters_are_of_category_l():
+    assert langid.words("½ ② Ⅷ 3² ٣") == [] and langid.words("x² Ab½cd É") == ["x", "ab", "cd", "é"]
+
+
+def test_languages_against_brute_force(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    kinds = {"en": ["the", "cat", "and", "dog", "thethetheandthe" * 3], "fr": ["le", "chat", "et", "chien"]}
+    rows = [(i, " ".join(rng.choice(kinds[k], 8)), k if i % 5 else None) for i in range(40) for k in [["en", "fr"][i % 2]]]
+    rows += [(41, "½ ² ①", "en"), (42, None, "fr"), (43, "", None), (44, "the chat", None), (3, rows[3][1], rows[3][2])]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in langid.op3_langid(spark, str(tmp_path)).collect()}
+    import zlib
+
+    learned = [(t, k) for i, t, k in rows if k and zlib.crc32(str(i).encode()) % 4 != 2]
+    pieces, languages = langid.vocabulary(), ["en", "fr"]
+    number = {q: i for i, q in enumerate(pieces)}
+    p = np.full((len(pieces) + 1, 2), 1 / len(pieces))
+    p[-1] = langid.UNKNOWN
+
+    def ways(w):
+        """(from, to, piece) of a word."""
+        w = "▁" + w
+        return len(w), [(i, j, k) for j in range(1, len(w) + 1) for i in range(j) if (k := number.get(w[i:j], len(pieces) if j - i == 1 else None)) is not None]
+
+    def forward(n, edges, q):
+        a = [1.0] + [0.0] * n
+        for i, j, k in edges:
+            a[j] += a[i] * q[k]
+        return a
+
+    counts = {}
+    for t, k in learned:
+        for w in langid.words(t):
+            counts[w, k] = counts.get((w, k), 0) + 1
+    for _ in range(langid.ROUNDS):
+        new = np.full_like(p, langid.ADDED)
+        for (w, k), c in counts.items():
+            q = p[:, languages.index(k)]
+            n, edges = ways(w)
+            a, b = forward(n, edges, q), [0.0] * n + [1.0]
+            for at in range(n - 1, -1, -1):
+                b[at] = sum(b[j] * q[piece] for i, j, piece in edges if i == at)
+            for i, j, piece in edges:
+                new[piece, languages.index(k)] += c * a[i] * q[piece] * b[j] / a[n]
+        new[:-1] /= new[:-1].sum(axis=0)
+        new[-1] = langid.UNKNOWN
+        p = new
+    totals = np.array([sum(c for (_, k), c in counts.items() if k == x) for x in languages], float)
+    for i, t, _ in rows:
+        found = langid.words(t)
+        if not found:
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+            continue
+        logs = np.log(totals / totals.sum()) + sum(np.array([np.log(forward(*ways(w), p[:, x])[-1]) for x in range(2)]) for w in found)
+        odds = np.exp(logs - logs.max())
+        assert got[i]["lang_pred"] == languages[int(odds.argmax())] and abs(got[i]["score"] - odds.max() / odds.sum()) < 1e-9
+        assert got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2)
+    spark.createDataFrame([], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert langid.op3_langid(spark, f"{tmp_path}/none").count() == 0
+
+
 @tables
 def test_languages_held_out(spark):
     got = langid.op3_langid(spark, FOLDER)
