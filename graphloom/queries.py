@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from graphloom.functions import document, geo, scalar, search, vector
 from graphloom.operators import paths, update
 from graphloom.operators.match import Pattern, match, ordered, union, unwind
+from graphloom.operators.match import optional_match as begin_optional
 from graphloom.plans import schema
 from graphloom.sources.commerce import commerce_graph
-from graphloom.sources.mapping import EdgeType, Graph
+from graphloom.sources.mapping import EdgeType, Graph, NodeType
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -405,12 +406,12 @@ def named_path(g: Graph) -> DataFrame:
     return p.select(c=p["c"], o=p["o"], nodes=F.size("p.nodes"), length=F.size("p.edges"))
 
 
-@query("SELECT conv_id, max(turn) AS hops FROM conversations GROUP BY 1 HAVING max(turn) BETWEEN 1 AND 6")
+@query("SELECT conv_id, max(turn) AS hops FROM conversations GROUP BY 1 HAVING max(turn) >= 1")
 def shortest_path_first_to_last(g: Graph) -> DataFrame:
-    ends = g.table("conversations").groupBy("conv_id").agg(F.max("turn").alias("last")).where("last between 1 and 6")
+    ends = g.table("conversations").groupBy("conv_id").agg(F.max("turn").alias("last")).where("last >= 1")
     kind = g.table("conversations").schema["turn"].dataType
     pairs = ends.select(F.struct("conv_id", F.lit(0).cast(kind).alias("turn")).alias("source"), F.struct("conv_id", F.col("last").cast(kind).alias("turn")).alias("target"))
-    out = paths.shortest_paths(g, "NEXT", pairs, most=6)
+    out = paths.shortest_paths(g, "NEXT", pairs)
     return out.select(F.col("source.conv_id").alias("conv_id"), F.col("hops").cast(kind).alias("hops"))
 
 
@@ -430,12 +431,12 @@ def k_shortest(g: Graph) -> DataFrame:
 DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))"
 
 
-@query("""WITH q AS (SELECT vec_id AS query, embedding AS qe FROM embeddings WHERE vec_id < 3), s AS (SELECT query, vec_id,
+@query("""WITH q AS (SELECT vec_id AS query, embedding AS qe FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query, vec_id,
 round(list_sum(list_transform(list_zip(qe, embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) / sqrt(list_sum(list_transform(qe, lambda x: x::DOUBLE * x::DOUBLE))) / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS score
 FROM q, embeddings WHERE vec_id <> query) SELECT query, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""")
 def cosine_nearest(g: Graph) -> DataFrame:
     v = g.table("embeddings")
-    out = vector.nearest(v.where("vec_id < 3"), v, "vec_id", "embedding", 5)
+    out = vector.nearest(v.where("vec_id % 100 = 0"), v, "vec_id", "embedding", 5)
     return out.select("query", "vec_id", F.round("score", 6).alias("score"), big(F.col("rank")).alias("rank"))
 
 
@@ -526,11 +527,20 @@ def create_nodes(g: Graph) -> DataFrame:
     return p.select(id=p["c"], name=p["c.c_name"], balance=p["c.c_acctbal"])
 
 
-@query("SELECT user_id AS u, count(*) AS n FROM (SELECT user_id FROM events WHERE event_type = 'click' UNION ALL SELECT DISTINCT user_id FROM events) GROUP BY 1")
+@query("SELECT o_orderkey AS o, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) + 1 AS parts, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS suppliers FROM orders")
 def create_edges(g: Graph) -> DataFrame:
-    rows = g.table("users").select("user_id", (F.col("user_id") + 1_000_000_000).alias("event_id"))
-    p = match(update.create_edges(g, "DID_CLICK", rows), "User", "u").out("DID_CLICK", None, "e")
-    return p.df.groupBy(F.col("u___id").alias("u")).agg(F.count("*").alias("n"))
+    rows = g.table("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(0).alias("l_partkey"), F.lit(-1).alias("l_linenumber"))
+    h = update.create_edges(g, "CONTAINS", rows)
+    p = match(h, "Order", "o").count_as("parts", "o", lambda q: q.out("CONTAINS", None, "x")).count_as("suppliers", "o", lambda q: q.out("FULFILLED_BY", None, "x"))
+    return p.select(o=p["o"], parts=F.col("parts"), suppliers=F.col("suppliers"))
+
+
+@query("""SELECT s_suppkey AS id, s_name AS name, CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey % 25 WHEN s_suppkey % 2 = 0 THEN NULL ELSE s_nationkey END AS nation FROM supplier""")
+def create_foreign_key_edges(g: Graph) -> DataFrame:
+    h = update.remove_properties(g, "Supplier", g.nodes("Supplier").where("_id % 2 = 0 or _id % 3 = 0").select("_id"), ["s_nationkey"])
+    h = update.create_edges(h, "SUPPLIER_IN", g.table("supplier").where("s_suppkey % 3 = 0").select("s_suppkey", (F.col("s_suppkey") % 25).alias("s_nationkey")))
+    p = match(h, "Supplier", "s")
+    return p.select(id=p["s"], name=p["s.s_name"], nation=p["s.s_nationkey"])
 
 
 @query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 AND c_custkey < 10 THEN c_acctbal + 1 ELSE c_acctbal END AS balance FROM customer UNION ALL SELECT -2, 7.0 UNION ALL SELECT -1, 7.0""")
@@ -541,11 +551,21 @@ def merge_nodes(g: Graph) -> DataFrame:
     return p.select(id=p["c"], balance=p["c.c_acctbal"])
 
 
-@query("SELECT n_regionkey AS r, count(*) AS n FROM (SELECT n_nationkey, n_regionkey FROM nation UNION SELECT n_nationkey, 0 FROM nation) GROUP BY 1")
+@query("SELECT n_nationkey AS id, n_name AS name, CASE WHEN n_nationkey % 2 = 0 THEN 0 ELSE n_regionkey END AS region FROM nation")
 def merge_edges(g: Graph) -> DataFrame:
-    rows = g.table("nation").select("n_nationkey", F.lit(0).alias("n_regionkey"))
-    e = update.merge_edges(g, "IN_REGION", rows.unionByName(rows)).edges("IN_REGION")
-    return e.groupBy(F.col("_dst").alias("r")).agg(F.count("*").alias("n"))
+    even = g.nodes("Nation").where("_id % 2 = 0").select("_id")
+    h = update.remove_properties(g, "Nation", even, ["n_regionkey"])
+    rows = g.table("nation").select("n_nationkey", F.when(F.col("n_nationkey") % 2 == 0, 0).otherwise(F.col("n_regionkey")).alias("n_regionkey"))
+    h = update.merge_edges(h, "IN_REGION", rows.unionByName(rows).where("n_nationkey < 1000000"))
+    p = match(h, "Nation", "n").optional("n", lambda q: q.out("IN_REGION", "Region", "r"))
+    return p.select(id=p["n"], name=p["n.n_name"], region=p["r"])
+
+
+@query("""SELECT l_orderkey AS o, l_partkey AS p, count(*) AS n FROM (SELECT l_orderkey, l_partkey FROM lineitem UNION ALL (SELECT o_orderkey, 0 FROM orders EXCEPT SELECT l_orderkey, l_partkey FROM lineitem)) GROUP BY 1, 2""")
+def merge_table_edges(g: Graph) -> DataFrame:
+    rows = g.table("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(0).cast("long").alias("l_partkey"))
+    e = update.merge_edges(g, "CONTAINS", rows.unionByName(rows)).edges("CONTAINS")
+    return e.groupBy(F.col("_src").alias("o"), F.col("_dst").alias("p")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT s_suppkey AS id, CASE WHEN s_acctbal < 0 THEN 0.0 ELSE s_acctbal END AS balance, CASE WHEN s_acctbal < 0 THEN NULL ELSE s_nationkey END AS nation FROM supplier")
@@ -569,6 +589,104 @@ def detach_delete(g: Graph) -> DataFrame:
     return h.nodes("Supplier").agg(F.count("*").alias("nodes")).join(F.broadcast(h.edges("SUPPLIED").agg(F.count("*").alias("edges"))), F.lit(True))
 
 
+@query("""SELECT 'Supplier' AS what, count(*) AS n FROM supplier WHERE s_suppkey % 3 <> 0 UNION ALL SELECT 'Part', count(*) FROM part UNION ALL SELECT 'Order', count(*) FROM orders
+UNION ALL SELECT 'SUPPLIED', count(*) FROM lineitem WHERE l_suppkey % 3 <> 0 UNION ALL SELECT 'FULFILLED_BY', count(*) FROM lineitem WHERE l_suppkey % 3 <> 0 UNION ALL SELECT 'CONTAINS', count(*) FROM lineitem
+UNION ALL SELECT 'SUPPLIER_IN', count(*) FROM supplier WHERE s_suppkey % 3 <> 0""")
+def detach_delete_all_types(g: Graph) -> DataFrame:
+    h = update.delete_nodes(g, "Supplier", g.nodes("Supplier").where("_id % 3 = 0").select("_id"), detach=True)
+    nodes = [h.nodes(k).agg(F.lit(k).alias("what"), F.count("*").alias("n")) for k in ("Supplier", "Part", "Order")]
+    return union(*nodes, *[h.edges(k).agg(F.lit(k).alias("what"), F.count("*").alias("n")) for k in ("SUPPLIED", "FULFILLED_BY", "CONTAINS", "SUPPLIER_IN")])
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_nationkey % 5 <> 0 THEN c_nationkey END AS nation FROM customer")
+def detach_delete_foreign_keys(g: Graph) -> DataFrame:
+    h = update.delete_nodes(g, "Nation", g.nodes("Nation").where("_id % 5 = 0").select("_id"), detach=True)
+    p = match(h, "Customer", "c").optional("c", lambda q: q.out("CUSTOMER_IN", "Nation", "n"))
+    return p.select(id=p["c"], nation=p["n"])
+
+
+@query("SELECT s_suppkey AS id FROM supplier WHERE s_nationkey IS NOT NULL OR s_suppkey IN (SELECT l_suppkey FROM lineitem)")
+def nodes_with_edges(g: Graph) -> DataFrame:
+    return update.connected(g, "Supplier", g.nodes("Supplier").select("_id")).select(F.col("_id").alias("id"))
+
+
+@query("SELECT c_custkey AS id, c_name AS name, CASE WHEN c_custkey % 2 = 0 THEN -c_acctbal ELSE c_acctbal END AS balance, CASE WHEN c_custkey % 2 = 0 THEN 'EVEN' ELSE c_mktsegment END AS segment FROM customer")
+def set_map(g: Graph) -> DataFrame:
+    maps = g.nodes("Customer").where("_id % 2 = 0").select("_id", F.struct((-F.col("c_acctbal")).alias("c_acctbal"), F.lit("EVEN").alias("c_mktsegment")).alias("m"))
+    p = match(update.add_properties(g, "Customer", maps, "m"), "Customer", "c")
+    return p.select(id=p["c"], name=p["c.c_name"], balance=p["c.c_acctbal"], segment=p["c.c_mktsegment"])
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'x' ELSE c_name END AS name, CASE WHEN c_custkey % 2 <> 0 THEN c_acctbal END AS balance FROM customer")
+def set_all_properties(g: Graph) -> DataFrame:
+    ids = g.nodes("Customer").where("_id % 2 = 0").select("_id")
+    p = match(update.set_properties(g, "Customer", ids, {"c_name": F.lit("x")}, replace_all=True), "Customer", "c")
+    return p.select(id=p["c"], name=p["c.c_name"], balance=p["c.c_acctbal"])
+
+
+# ---------------------------------------------------------------- endpoints, labels, optional nodes
+
+
+@query("SELECT n_nationkey AS n, count(*) AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+def undirected_typed_ends(g: Graph) -> DataFrame:
+    p = match(g, "Nation", "n").both("CUSTOMER_IN", "Customer", "c")
+    return p.df.groupBy(F.col("n___id").alias("n")).agg(F.count("*").alias("customers"))
+
+
+@query("SELECT l_orderkey AS o, count(*) AS n FROM (SELECT l.l_orderkey FROM lineitem l JOIN lineitem m ON l.l_orderkey = m.l_orderkey WHERE l.l_linenumber <> m.l_linenumber OR l.l_partkey <> m.l_partkey OR l.l_suppkey <> m.l_suppkey) GROUP BY 1")
+def several_types_then_one(g: Graph) -> DataFrame:
+    p = match(g, "Order", "o").out(["FULFILLED_BY", "PLACED"], "Supplier", "s", edge="a").at("o").out("CONTAINS", "Part", "p", edge="b")
+    return p.df.groupBy(F.col("o___id").alias("o")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey AS o, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' GROUP BY 1")
+def edge_properties_exact(g: Graph) -> DataFrame:
+    p = match(g, "Order", "o").out("CONTAINS", None, "x", edge_properties={"l_returnflag": "R"})
+    lower = match(g, "Order", "o").out("CONTAINS", None, "x", edge_properties={"l_returnflag": "r"})
+    return union(p.df.select("o___id"), lower.df.select("o___id")).groupBy(F.col("o___id").alias("o")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_custkey AS id, c_mktsegment AS segment, c_name AS name FROM customer")
+def nested_property(g: Graph) -> DataFrame:
+    rows = g.table("customer").select("c_custkey", F.struct(F.struct("c_mktsegment", "c_name").alias("b"), F.create_map(F.lit("k"), "c_name").alias("m")).alias("a"))
+    p = match(g.with_table("customer", rows), "Customer", "x")
+    return p.where(p["x.a.none.b"].isNull()).select(id=p["x"], segment=p["x.a.b.c_mktsegment"], name=p["x.a.m.k"])
+
+
+@query("SELECT event_id AS id, event_type = 'click' AS click, false AS part FROM events")
+def label_in_expression(g: Graph) -> DataFrame:
+    p = match(g, "Event", "e").label_as("click", "e", "Click").label_as("part", "e", "Part")
+    return p.select(id=p["e"], click=F.col("click"), part=F.col("part"))
+
+
+@query("SELECT c_custkey AS id FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
+def label_in_list(g: Graph) -> DataFrame:
+    rows = g.table("customer").withColumn("kinds", F.when(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), F.array(F.lit("Customer"), F.lit("Builder"))).otherwise(F.array(F.lit("Customer"))))
+    h = Graph({**g.tables, "customer": rows}, {"Builder": NodeType("customer", "c_custkey", "kinds", "Builder")}, {})
+    p = match(h, "Builder", "b")
+    return p.select(id=p["b"])
+
+
+@query("SELECT r_regionkey AS region, n_nationkey AS nation FROM region LEFT JOIN nation ON n_nationkey = r_regionkey * 10")
+def optional_node(g: Graph) -> DataFrame:
+    p = match(g, "Region", "r").optional_node("Nation", "n", on=lambda v: v("n.n_nationkey") == v("r.r_regionkey") * 10)
+    return p.select(region=p["r"], nation=p["n"])
+
+
+@query("SELECT 'none' AS which, NULL::BIGINT AS id UNION ALL SELECT 'some', c_custkey FROM customer WHERE c_acctbal > 9000")
+def leading_optional(g: Graph) -> DataFrame:
+    none = begin_optional(g, "Customer", "c", {"c_name": "nobody"}, lambda q: q.out("PLACED", "Order", "o"))
+    some = begin_optional(g, "Customer", "c", build=lambda q: q.where(q["c.c_acctbal"] > 9000))
+    return union(none.select(which=F.lit("none"), id=none["c"]), some.select(which=F.lit("some"), id=some["c"]))
+
+
+@query("SELECT s_suppkey AS s, n_nationkey AS n, r_regionkey AS r FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey AND n_nationkey > 10 LEFT JOIN region ON n_regionkey = r_regionkey AND r_regionkey < 2")
+def several_optionals(g: Graph) -> DataFrame:
+    p = match(g, "Supplier", "s").optional("s", lambda q: (m := q.out("SUPPLIER_IN", "Nation", "n")).where(m["n"] > 10))
+    p = p.optional("n", lambda q: (m := q.out("IN_REGION", "Region", "r")).where(m["r"] < 2))
+    return p.select(s=p["s"], n=p["n"], r=p["r"])
+
+
 # ---------------------------------------------------------------- schema and statistics
 
 

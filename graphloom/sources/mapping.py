@@ -27,7 +27,7 @@ class GraphError(ValueError):
 
 @dataclass(frozen=True)
 class NodeType:
-    """Rows of ``table`` (those whose type_field is type_value, if given), identified by ``key``.
+    """Rows of ``table`` (those whose type_field is or, if it is a list of labels, holds type_value), identified by ``key``.
 
     ``fields`` renames properties: conceptual name to column.  ``count`` is an estimate for choosing among labels.
     """
@@ -87,6 +87,13 @@ class Graph:
             raise GraphError(f"no table {name}", "INVALID_MAPPING")
         return self.tables[name]
 
+    def same_nodes(self, a: str, b: str) -> bool:
+        """Whether ids of two labels mean the same nodes: rows of one table under one key."""
+        x, y = self.labels.get(a), self.labels.get(b)
+        if x is None or y is None:
+            return a == b or x is y
+        return x.table == y.table and _names(x.key) == _names(y.key)
+
     def nodes(self, label: str | Sequence[str]) -> DataFrame:
         """_id and properties of the nodes that have all the labels; the smallest label is scanned, others are checked by key."""
         names = [label] if isinstance(label, str) else sorted(label, key=lambda x: (self.node_type(x).count is None, self.node_type(x).count or 0))
@@ -101,7 +108,8 @@ class Graph:
     def _scan(self, t: NodeType) -> DataFrame:
         df = self.table(t.table)
         if t.type_field:
-            df = df.where(F.col(t.type_field) == t.type_value)
+            listed = df.schema[t.type_field].dataType.typeName() == "array"
+            df = df.where(F.array_contains(t.type_field, t.type_value) if listed else F.col(t.type_field) == t.type_value)
         renamed = {v: k for k, v in t.fields.items()}
         return df.select(key_of(t.key).alias("_id"), *[F.col(c).alias(renamed.get(c, c)) for c in df.columns if c != "_id"])
 
@@ -172,5 +180,23 @@ def graph_from_mapping(mapping: Mapping | str, tables: Mapping[str, DataFrame],
     return Graph(known, labels, types)
 
 
+def mapping_of(graph: Graph) -> dict:
+    """The mapping that graph_from_mapping() reads: entities and relationships with their styles, fields and ends."""
+    entities, relationships = {}, {}
+    for label, t in graph.labels.items():
+        e = {"style": "LABEL" if t.type_field else "COLLECTION", "collectionName": t.table}
+        e |= {"typeField": t.type_field, "typeValue": t.type_value} if t.type_field else {}
+        e |= {"properties": {p: {"field": f} for p, f in t.fields.items()}} if t.fields else {}
+        entities[label] = e | ({"estimatedCount": t.count} if t.count is not None else {})
+    for name, t in graph.types.items():
+        if t.embedded:
+            r = {"style": "EMBEDDED", "embeddedPath": t.embedded, "collectionName": t.table}
+        else:
+            r = {"style": "GENERIC_WITH_TYPE" if t.type_field else "DEDICATED_COLLECTION", "edgeCollectionName": t.table}
+            r |= {"typeField": t.type_field, "typeValue": t.type_value} if t.type_field else {}
+        relationships[name] = r | {k: v for k, v in (("domain", t.from_label), ("range", t.to_label)) if v}
+    return {"physicalMapping": {"entities": entities, "relationships": relationships}}
+
+
 def read_tables(spark: SparkSession, folder: str, names: Sequence[str]) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in names}

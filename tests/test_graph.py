@@ -1,5 +1,7 @@
 """One social graph in several physical forms gives the same rows."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,7 +9,7 @@ from graphloom.functions import scalar, search
 from graphloom.operators import paths, update
 from graphloom.operators.match import Pattern, match, ordered, union
 from graphloom.plans import schema
-from graphloom.sources.mapping import EdgeType, Graph, GraphError, NodeType, graph_from_mapping
+from graphloom.sources.mapping import EdgeType, Graph, GraphError, NodeType, graph_from_mapping, mapping_of
 
 USERS = [("u1", "Alice", "a@example.com", "MA", 30), ("u2", "Bob", None, "CA", 20), ("u3", "Cara", "c@example.com", "MA", 40), ("u4", "Dan", None, "NY", 21), ("u5", "Eve", None, "NY", 22), ("u6", "Finn", None, "MA", 23)]
 FOLLOWS = [("e1", "u1", "u2"), ("e2", "u1", "u3"), ("e3", "u2", "u3")]
@@ -163,3 +165,46 @@ def test_shortest_paths_have_no_bound_by_default(spark):
     pairs = spark.createDataFrame([(0, 12), (12, 0)], "source long, target long")
     assert [(r["target"], r["hops"]) for r in paths.shortest_paths(g, "NEXT", pairs).collect()] == [(12, 12)]
     assert paths.shortest_paths(g, "NEXT", pairs, most=11).count() == 0
+
+
+def test_ends_must_fit(spark):
+    from graphloom.sources.commerce import commerce_graph
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test tables")
+    g = commerce_graph(spark, "/root/testdata/sf0.001")
+    for build in (
+        lambda: match(g, "Supplier", "s").out("PLACED", "Order", "o"),
+        lambda: match(g, "Part", "p").out("IN_REGION", "Region", "r"),
+        lambda: match(g, "Customer", "c").out("PLACED", "Part", "p"),
+        lambda: match(g, "Customer", "c").into("PLACED", "Order", "o"),
+        lambda: match(g, "Customer", "c").hops("PLACED", "Order", "o", 1, 3),
+        lambda: match(g, "Customer", "c").out("CUSTOMER_IN", None, "n").out("PLACED", "Order", "o"),
+    ):
+        with pytest.raises(GraphError) as e:
+            build()
+        assert e.value.code == "ENDPOINT_MISMATCH"
+    # another label of the same table is the same node
+    assert match(g, "User", "u").out("DID", "Click", "c").df.count() == g.nodes("Click").count()
+    mixed = match(g, "Order", "o").out(["PLACED", "CONTAINS"], "Part", "p")  # PLACED does not leave an order
+    assert mixed.df.count() == g.edges("CONTAINS").count()
+
+
+def test_foreign_keys_take_one_edge(spark):
+    a = spark.createDataFrame([(1, None), (2, 7)], "id int, ref int")
+    b = spark.createDataFrame([(7,), (8,)], "id int")
+    g = Graph({"a": a, "b": b}, {"A": NodeType("a", "id"), "B": NodeType("b", "id")}, {"R": EdgeType("a", "id", "ref", "id", "A", "B")})
+    new = lambda *x: spark.createDataFrame(list(x), "id int, ref int")
+    assert rows(update.create_edges(g, "R", new((1, 8), (2, 7), (9, 7), (None, 7))).table("a")) == [(1, 8), (2, 7)]
+    for bad in (new((2, 8)), new((1, 7), (1, 8))):
+        with pytest.raises(Exception, match="one edge of this type"):
+            update.merge_edges(g, "R", bad).table("a").collect()
+    d = update.delete_nodes(g, "B", spark.createDataFrame([(7,)], "_id int"), detach=True)
+    assert rows(d.table("a")) == [(1, None), (2, None)] and rows(d.table("b")) == [(8,)]
+
+
+def test_mapping_round_trip(spark, graph):
+    again = mapping_of(graph)
+    assert graph_from_mapping(again, {}).labels.keys() == graph.labels.keys()
+    back = graph_from_mapping(again, {})
+    assert {k: (t.from_label, t.to_label, t.type_value) for k, t in back.types.items()} == {k: (t.from_label, t.to_label, t.type_value) for k, t in graph.types.items()}
