@@ -89,6 +89,33 @@ def test_simhash_components(docs):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(low.values())
 
 
+def test_near_texts_are_verified(spark):
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows, near = [], []
+    for k in range(60):
+        base = [word() for _ in range(300)]
+        other = list(base)
+        for _ in range(1 + k % 8):  # one edit costs five shingles of some 296
+            other[rng.randrange(300)] = word()
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+        a, b = (set(zip(*(w[i:] for i in range(5)), strict=False)) for w in (base, other))
+        near.append(len(a & b) / len(a | b))
+    copies = [(1000 + i, rows[0][1] + " " + word()) for i in range(30)]
+    rows += [*copies, (2000, None), (2001, ""), (2002, " \n"), (2003, rows[8][1]), (2003, rows[8][1]), (None, rows[8][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"_t": F.lit(1), "fp": F.lit(2), "tid": F.lit("x"), "gone": F.lit(3)})
+    out = simhash.near_dedup(docs, words=5, budget=10, similar=0.8)
+    assert out.columns == docs.columns
+    left = [r["doc_id"] for r in out.collect()]
+    assert len(left) == len(set(left)) and None not in left
+    left = set(left)
+    assert all(2 * k in left for k in range(60))  # the first of each pair stays
+    assert not any(2 * k + 1 not in left and x < 0.8 for k, x in enumerate(near))  # nothing else goes
+    gone = [2 * k + 1 not in left for k, x in enumerate(near) if x >= 0.9]
+    assert len(gone) >= 15 and sum(gone) >= 0.8 * len(gone)
+    assert not left & ({i for i, _ in copies} | {2001, 2002, 2003}) and 2000 in left
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     assert simhash.near_dedup(none).count() == 0
