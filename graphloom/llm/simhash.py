@@ -263,7 +263,7 @@ def _similar_pairs(pairs: DataFrame, bodies: DataFrame, words: int, similar: flo
         pairs = pairs.join(bodies.select(F.col("tid").alias(k), F.col("text").alias(f"t{k}")), k)
 
     def run(batches):
-        last = None, set()  # pairs come in order of a task's join, often with one text many times
+        last = object(), set()  # pairs come in order of a task's join, often with one text many times
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):

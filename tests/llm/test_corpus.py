@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.llm import linededup, mixing, packing, registry
+from graphloom.llm import linededup, mixing, packing, registry, simhash
 
 FOLDER = "/root/testdata/sf0.001"
 tables = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
@@ -201,3 +201,30 @@ def test_pipeline(spark):
 def test_line_stage_drops_only_copies(spark):
     docs = spark.createDataFrame([(1, "a line that stays\nand one more"), (2, "a line that stays\nits own line"), (3, "and one more")], "doc_id long, text string")
     assert {r["doc_id"]: r["text"] for r in linededup.dedup_lines(docs).collect()} == {1: "a line that stays\nand one more", 2: "its own line"}
+
+
+def test_stages_on_edge_cases(spark, tmp_path):
+    rng = np.random.default_rng(12)
+    vocabulary = {k: ["".join(rng.choice(list(letters), 5)) for _ in range(300)] for k, letters in (("en", "abcdefg"), ("fr", "hijklmn"))}
+    text = lambda k, n: " ".join(rng.choice(vocabulary[k], n))
+    rows = [(i, text("en" if i % 2 else "fr", 60) + "\n" + text("en" if i % 2 else "fr", 40), "en" if i % 2 else "fr", f"s{i % 3}", 1) for i in range(40)]
+    rows += [(100, None, None, None, None), (101, "", "en", "s0", 0), (102, "½ 12", None, "s1", 4), (103, text("en", 90), None, None, None), (None, text("fr", 90), "fr", "s1", 3)]
+    rows += [(104, rows[3][1], "en", "s1", 1), (105, text("en", 20_000), "en", "s2", 2), (106, text("en", 50), "en", "s0", 1), (106, text("en", 50), "en", "s0", 1)]
+    rows += [rows[-1]]
+    clash = ["score", "lang_pred", "weight", "kept", "probability", "topic", "n_tokens", "_t", "fp", "ids", "near", "norm", "pos"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit(c) for c in clash})
+    for table in (docs, docs.limit(0)):
+        now = table
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            now = corpus_pipeline.stored(stage(spark, now, str(tmp_path)), "edge")
+            if k < 4:
+                assert now.columns == docs.columns, name
+                assert now.where(" or ".join(f"{c} <> '{c}'" for c in clash)).isEmpty(), name
+                ids = [r["doc_id"] for r in now.collect()]
+                if k == 0 and table is docs:
+                    assert not {100, 101, 102} & set(ids) and {103, 105, 106} <= set(ids) and ids.count(106) == 3 and None in ids
+                if k == 2 and table is docs:
+                    assert 104 not in ids and ids.count(106) <= 2 and 105 in ids
+        assert (now.count() == 0) == (table is not docs)
+    direct = [r["doc_id"] for r in simhash.near_dedup(docs, words=5, budget=10, similar=0.8).collect()]
+    assert {*range(40), 100, 102, 103, 105, None} <= set(direct) and not {101, 104} & set(direct) and direct.count(106) == 2
