@@ -14,7 +14,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.components import connected_components
@@ -75,14 +75,13 @@ def _blocks(count: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(ends, ends[1:], strict=False)]
 
 
-def _reordered(fp: Column, front: tuple, blocks: list[tuple[int, int]]) -> tuple[Column, int]:
-    """fp with the blocks ``front`` as its highest bits, and how many bits those are."""
-    order = [*front, *(b for b in blocks if b not in front)]
-    out, place = F.lit(0).cast("long"), BITS
+def _reordered(fps: np.ndarray, order: list[tuple[int, int]]) -> np.ndarray:
+    """Fingerprints (uint64) with their bits in the order of the blocks (lowest bit, bits), the first blocks highest."""
+    out, place = np.zeros(len(fps), np.uint64), BITS
     for low, n in order:
         place -= n
-        out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << n) - 1).cast("long")), place))
-    return out, sum(n for _, n in front)
+        out |= ((fps >> np.uint64(low)) & np.uint64((1 << n) - 1)) << np.uint64(place)
+    return out
 
 
 def _stars(pairs_a: np.ndarray, pairs_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -181,13 +180,21 @@ def trie_links(fps: DataFrame, budget: int = 4, fp: str = "fp", forest: bool = T
     blocks = _blocks(budget + 2)
     one = fps.select(F.col(fp).alias("fp"), (F.col(known) if known else F.lit(0).cast("long")).alias("known")).where("fp is not null").distinct()
     fronts = list(combinations(blocks, 2))
-    rows = []
-    for t, front in enumerate(fronts):
-        key, n = _reordered(F.col("fp"), front, blocks)
-        rows.append(F.struct(F.lit(t).alias("t"), F.shiftrightunsigned(key, BITS - n).alias("node"), key.alias("key")))
     widths = [sum(n for _, n in front) for front in fronts]
     orders = [[*front, *(b for b in blocks if b not in front)] for front in fronts]
-    rows = one.select(F.explode(F.array(*rows)).alias("r"), *(["known"] if known else [])).select("r.t", "r.node", "r.key", *(["known"] if known else []))
+    labelled = ["known"] if known else []
+
+    def posted(batches):
+        for b in batches:
+            fps = b.column(0).to_numpy().view(np.uint64)
+            for t, order in enumerate(orders):
+                key = _reordered(fps, order)
+                node = (key >> np.uint64(BITS - widths[t])).astype(np.int64)
+                columns = [pa.array(np.full(len(key), t, np.int32)), pa.array(node), pa.array(key.view(np.int64)), *b.columns[1:]]
+                yield pa.RecordBatch.from_arrays(columns, names=["t", "node", "key", *labelled])
+
+    rows = one.select("fp", *labelled).mapInArrow(posted, "t int, node long, key long" + ", known long" * bool(known))
+    # keys are unsigned; those of a node agree in the front, so their order as longs is right within a node
     rows = rows.repartition("t", "node").sortWithinPartitions("t", "node", "key")
 
     def back(keys: np.ndarray, t: int) -> np.ndarray:
