@@ -1,9 +1,12 @@
 """Embedding near-duplicates by a pivot-permutation index.
 
-A vector is described by its nearest reference points (pivots), in order.  Every vector is posted to the
-inverted list of each of them; vectors that share enough pivots are candidates, and a cosine in double
+A vector is described by its nearest reference points (pivots), in order.  It is posted to the inverted lists of the
+first few of them alone.  Vectors that meet in a list and share enough pivots are candidates, and a cosine in double
 precision decides.  Lists are cut into blocks of bounded size and every pair of blocks is one task, so a list
 that holds a third of all vectors is many small tasks; a task returns counts and a spanning forest, not pairs.
+
+A list holds PREFIX * n / p of n vectors, so with p pivots the lists pair up PREFIX^2 / p of what a comparison of all
+vectors would; p grows with the square root of n, the work with its power of 1.5.
 """
 
 from __future__ import annotations
@@ -12,20 +15,21 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.components import connected_components
-from graphloom.llm.shared import stored
+from graphloom.llm.shared import discard, stored
 from graphloom.llm.simhash import _stars
 
-#: Pivots: the square root of the number of vectors, within these bounds; how they are sampled.
-LEAST_PIVOTS, MOST_PIVOTS = 128, 4096
+#: Pivots: twice the square root of the number of vectors, within these bounds; how they are sampled.
+LEAST_PIVOTS, MOST_PIVOTS = 128, 8192
 OVERSAMPLE, APART = 4, 0.8
-#: Nearest pivots that describe a vector, and how many of them a candidate shares.
-NEAREST, SHARED = 12, 3
-#: Vectors of a block.
-BLOCK = 1024
+#: Nearest pivots that describe a vector, how many of them it is posted to, and how many a candidate shares.
+NEAREST, PREFIX, SHARED = 12, 4, 3
+#: Vectors of a block, and those of one side that a task compares at a time.
+BLOCK, CHUNK = 2048, 256
 
 
 def _matrix(column: pa.Array, kind=np.float64) -> np.ndarray:
@@ -40,27 +44,19 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def usable(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
-    """Rows whose vector has only finite components, not all zero, and the length that most rows have (the smaller of equally frequent ones)."""
+    """Rows whose vector has only finite components, not all zero."""
     v = F.col(vector)
     clean = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    good = vectors.where(F.coalesce(clean, F.lit(False)))
-    size = good.groupBy(F.size(v).alias("n")).count().orderBy(F.desc("count"), "n").limit(1).first()
-    return good.where(F.size(v) == (size["n"] if size else -1))
+    return vectors.where(F.coalesce(clean, F.lit(False)))
 
 
-def choose_pivots(reps: DataFrame, n: int, vector: str) -> np.ndarray:
-    """Reference points from a sample of distinct vectors that depends on their values alone (the smallest hashes).
+def _apart(x: np.ndarray, count: int) -> np.ndarray:
+    """Up to ``count`` of the sampled unit vectors, in their order.
 
-    The sample has OVERSAMPLE vectors for each pivot wanted.  A vector near a pivot (cosine of APART or more) is
-    passed over, so that a group of near copies has one pivot, however large a share of the vectors it is.  Where
-    fewer than NEAREST lie apart, sampled vectors that were passed over fill up to as many: each time the one whose
-    largest cosine to the chosen ones is smallest.
+    A vector near a pivot (cosine of APART or more) is passed over, so that a group of near copies has one pivot,
+    however large a share of the vectors it is.  Where fewer than NEAREST lie apart, sampled vectors that were passed
+    over fill up to as many: each time the one whose largest cosine to the chosen ones is smallest.
     """
-    count = max(LEAST_PIVOTS, min(MOST_PIVOTS, math.isqrt(n)))
-    rows = reps.select(vector).orderBy(F.xxhash64(vector), vector).limit(OVERSAMPLE * count).collect()
-    if not rows:
-        return np.zeros((0, 1))
-    x = _unit(np.array([r[0] for r in rows], np.float64))
     free, chosen = np.ones(len(x), bool), []
     while free.any() and len(chosen) < count:
         i = int(np.argmax(free))
@@ -77,26 +73,75 @@ def choose_pivots(reps: DataFrame, n: int, vector: str) -> np.ndarray:
     return x[chosen]
 
 
-def with_permutation(reps: DataFrame, pivots: np.ndarray, vector: str, nearest: int = NEAREST) -> DataFrame:
-    """Adds ``perm``: the numbers of the nearest pivots by cosine, nearest first (ties: the smaller number)."""
-    nearest = min(nearest, len(pivots))
-    place, names = reps.columns.index(vector), [*reps.columns, "perm"]
+def choose_pivots(reps: DataFrame, vector: str) -> dict[int, np.ndarray]:
+    """Reference points of each length of vectors, from a sample of distinct vectors that depends on their values alone.
+
+    About OVERSAMPLE vectors for each pivot wanted, those of the smallest hashes, come to the driver; _apart() chooses.
+    """
+    size = F.size(vector)
+    lengths = {r["d"]: r["count"] for r in reps.groupBy(size.alias("d")).count().collect()}
+    if not lengths:
+        return {}
+    wanted = {d: max(LEAST_PIVOTS, min(MOST_PIVOTS, 2 * math.isqrt(n))) for d, n in lengths.items()}
+    # a hash is as likely to be under any bound as the bound is high; some more than wanted pass
+    bound = F.create_map(*(F.lit(x) for d, n in lengths.items() for x in (d, min(1.0, (1.2 * OVERSAMPLE * wanted[d] + 50) / n))))
+    place = (F.xxhash64(vector) / F.lit(2.0**64)) + 0.5
+    sample = reps.where(place <= F.element_at(bound, size)).select(F.col(vector).alias("v"), F.xxhash64(vector).alias("h")).toArrow()
+    values, h = sample.column("v").combine_chunks(), sample.column("h").to_numpy()
+    own = pc.list_value_length(values).to_numpy(zero_copy_only=False)
+    pivots = {}
+    for d in sorted(lengths):
+        at = np.flatnonzero(own == d)
+        if len(at):
+            x = _matrix(values.take(pa.array(at)))
+            order = np.lexsort((*x.T[::-1], h[at]))[: OVERSAMPLE * wanted[d]]
+            pivots[d] = _apart(_unit(x[order]), wanted[d])
+    return pivots
+
+
+def with_permutation(reps: DataFrame, pivots: dict[int, np.ndarray], vector: str, nearest: int = NEAREST, prefix: int = PREFIX) -> DataFrame:
+    """Adds ``perm``, the numbers of the nearest pivots of the vector's length by cosine, nearest first (ties: the
+    smaller number), and ``lists``, how many of them it is posted to.
+
+    Where there are no more pivots than ``nearest``, that is over half of them, so that any two vectors meet.
+    """
+    place, names = reps.columns.index(vector), [*reps.columns, "perm", "lists"]
+    first, total = {}, 0
+    for d, x in pivots.items():
+        first[d] = total
+        total += len(x)
 
     def run(batches):
         for b in batches:
-            perms = []
-            for at in range(0, b.num_rows, 4096):
-                near = _unit(_matrix(b.column(place).slice(at, 4096))) @ pivots.T
-                perms.append(np.argsort(-near, axis=1, kind="stable")[:, :nearest])
-            flat = np.concatenate(perms).astype(np.int32).ravel() if perms else np.zeros(0, np.int32)
-            perm = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, nearest, dtype=np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([*b.columns, perm], names=names)
-
-    schema = reps.withColumn("perm", F.lit(None).cast("array<int>")).schema
+            size = pc.list_value_length(b.column(place)).to_numpy(zero_copy_only=False)
+            perm, lists = np.full((b.num_rows, nearest), -1, np.int32), np.zeros(b.num_rows, np.int32)
+            for d in np.unique(size).tolist():
+                own = pivots[d]
+                k = min(nearest, len(own))
+                for rows in np.array_split(at := np.flatnonzero(size == d), -(-len(at) // 4096)):
+                    cosine = _unit(_matrix(b.column(place).take(pa.array(rows)))) @ own.T
+                    perm[rows, :k] = first[d] + np.argsort(-cosine, axis=1, kind="stable")[:, :k]
+                lists[size == d] = prefix if len(own) > nearest else k // 2 + 1
+            offsets = np.concatenate(([0], np.cumsum((perm >= 0).sum(axis=1)))).astype(np.int32)
+            column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(perm[perm >= 0]))
+            yield pa.RecordBatch.from_arrays([*b.columns, column, pa.array(lists)], names=names)
+
+    schema = reps.withColumns({"perm": F.lit(None).cast("array<int>"), "lists": F.lit(None).cast("int")}).schema
     return reps.mapInArrow(run, schema)
 
 
-def _block_pair(pivots: int, least: float, shared: int):
+def shared_counts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many pivots each row of ``a`` shares with each row of ``b`` (rows: different pivot numbers), by b's inverted lists."""
+    order = np.argsort(b, axis=None, kind="stable")
+    pivots, rows = b.ravel()[order], order // b.shape[1]
+    low, high = (np.searchsorted(pivots, a.ravel(), side) for side in ("left", "right"))
+    n = high - low
+    post = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+    cell = np.repeat(np.arange(a.size) // a.shape[1] * len(b), n) + rows[post]
+    return np.bincount(cell, minlength=len(a) * len(b)).reshape(len(a), len(b))
+
+
+def _block_pair(least: float, shared: int):
     """The task of one pair of blocks of one pivot's list."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
@@ -105,33 +150,42 @@ def _block_pair(pivots: int, least: float, shared: int):
         block = table.column("block").to_numpy()
         order = np.argsort(block, kind="stable")
         rid, w = table.column("rid").to_numpy()[order], table.column("w").to_numpy()[order]
-        x = _unit(_matrix(table.column("vec").combine_chunks()))[order] if len(order) else np.zeros((0, 1))
+        x = _unit(_matrix(table.column("vec").combine_chunks()))[order]
         perm = _matrix(table.column("perm").combine_chunks(), np.int64)[order]
-        hot = np.zeros((len(rid), pivots), np.float32)
-        np.put_along_axis(hot, perm, 1, axis=1)
+        # pivots of the places that a vector is posted to; later ones never match
+        head = perm[:, : table.column("lists")[0].as_py()]
         n = int((block == left).sum())
-        a, b = (slice(0, n), slice(n, len(rid))) if left != right else (slice(0, n), slice(0, n))
-        # a pair is looked at in the list of the first pivot that it shares: earlier ones count 1000
-        weighed = hot[a].copy()
-        weighed[:, :pivot] *= 1000
-        count = weighed @ hot[b].T
-        near = (count >= shared) & (count < 1000)
-        if left == right:
-            near = np.triu(near, 1)
-        i, j = np.nonzero(near)
-        j = j + b.start
-        linked = np.zeros(len(i), bool)
-        if len(i) * 8 > n * (len(rid) - n if left != right else n):
-            linked = (x[a] @ x[b].T)[i, j - b.start] >= least
-        else:
-            for at in range(0, len(i), 1 << 17):
-                p, q = i[at : at + (1 << 17)], j[at : at + (1 << 17)]
-                linked[at : at + (1 << 17)] = np.einsum("ij,ij->i", x[p], x[q]) >= least
-        i, j = i[linked], j[linked]
-        links = np.bincount(i, w[j], len(rid)) + np.bincount(j, w[i], len(rid)) if len(i) else np.zeros(len(rid))
+        to = 0 if left == right else n
+        links, star_a, star_b = np.zeros(len(rid)), [], []
+        for at in range(0, n, CHUNK):
+            rows = slice(at, min(at + CHUNK, n))
+            near = shared_counts(perm[rows], perm[to:]) >= min(shared, perm.shape[1])
+            if left == right:
+                near = np.triu(near, at + 1)
+            i, j = np.nonzero(near)
+            i, j = i + at, j + to
+            if len(i) * 8 > near.size:
+                linked = (x[rows] @ x[to:].T)[i - at, j - to] >= least
+            else:
+                linked = np.zeros(len(i), bool)
+                for k in range(0, len(i), 1 << 13):
+                    part = slice(k, k + (1 << 13))
+                    linked[part] = np.einsum("ij,ij->i", x[i[part]], x[j[part]]) >= least
+            i, j = i[linked], j[linked]
+            # a pair counts in the list of the smallest pivot that both are posted to
+            again = np.zeros(len(i), bool)
+            for p in range(head.shape[1]):
+                own = head[i, p]
+                again |= (own < pivot) & (head[j] == own[:, None]).any(axis=1)
+            i, j = i[~again], j[~again]
+            if len(i):
+                links += np.bincount(i, w[j], len(rid)) + np.bincount(j, w[i], len(rid))
+                far, root = _stars(i, j)
+                star_a.append(far)
+                star_b.append(root)
         star = np.arange(len(rid))
-        if len(i):
-            far, root = _stars(i, j)
+        if star_a:
+            far, root = _stars(np.concatenate(star_a), np.concatenate(star_b))
             star[far] = root
         some = links > 0
         return pa.table({"rid": rid[some], "links": links[some].astype(np.int64), "star": rid[star[some]]})
@@ -139,24 +193,24 @@ def _block_pair(pivots: int, least: float, shared: int):
     return run
 
 
-def cosine_links(reps: DataFrame, n: int, vector: str = "vec", least: float = 0.9, nearest: int = NEAREST, shared: int = SHARED) -> DataFrame:
-    """(rid, links, star) parts for distinct vectors (rid, w, vec): sums of linked weights, and a spanning forest of the links found."""
-    pivots = choose_pivots(reps, n, vector)
-    if not len(pivots):
+def cosine_links(reps: DataFrame, vector: str = "vec", least: float = 0.9, nearest: int = NEAREST, prefix: int = PREFIX, shared: int = SHARED) -> DataFrame:
+    """(rid, links, star) parts for distinct vectors (rid, w, vec): sums of linked weights, and a spanning forest of the links found.
+
+    A row is sent once for every block of its lists; lists of up to BLOCK vectors are one block.
+    """
+    pivots = choose_pivots(reps, vector)
+    if not pivots:
         return reps.sparkSession.createDataFrame([], "rid long, links long, star long")
-    # with few pivots to tell vectors apart, every vector is near all of them: all pairs are candidates
-    shared = min(shared, len(pivots))
-    described = stored(with_permutation(reps, pivots, vector, nearest).select("rid", "w", F.col(vector).alias("vec"), "perm"), "perms")
-    lengths = described.select(F.explode("perm").alias("p")).groupBy("p").count().collect()
-    blocks = [1] * len(pivots)
-    for r in lengths:
-        blocks[r["p"]] = -(-r["count"] // BLOCK)
-    count = F.element_at(F.array(*map(F.lit, blocks)), F.col("p") + 1)
-    posted = described.withColumn("p", F.explode("perm")).withColumn("n", count)
-    posted = posted.withColumn("block", F.pmod(F.xxhash64("rid"), F.col("n")).cast("int"))
+    described = stored(with_permutation(reps.select("rid", "w", F.col(vector).alias("vec")), pivots, "vec", nearest, prefix), "perms")
+    posted = described.withColumn("p", F.explode(F.slice("perm", F.lit(1), F.col("lists"))))
+    # a row for every pivot, at most MOST_PIVOTS of a length
+    blocks = posted.groupBy("p").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
+    posted = posted.join(F.broadcast(blocks), "p").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("n")).cast("int"))
     posted = posted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    posted = posted.select("p", F.least("block", "other").cast("int").alias("i"), F.greatest("block", "other").cast("int").alias("j"), "block", "rid", "w", "vec", "perm")
-    return posted.groupBy("p", "i", "j").applyInArrow(_block_pair(len(pivots), least, shared), "rid long, links long, star long")
+    posted = posted.select("p", F.least("block", "other").cast("int").alias("i"), F.greatest("block", "other").cast("int").alias("j"), "block", "rid", "w", "vec", "perm", "lists")
+    parts = stored(posted.groupBy("p", "i", "j").applyInArrow(_block_pair(least, shared), "rid long, links long, star long"), "pairs")
+    discard(described)
+    return parts
 
 
 def near_vectors(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding", least: float = 0.9) -> DataFrame:
@@ -164,23 +218,28 @@ def near_vectors(vectors: DataFrame, id: str = "vec_id", vector: str = "embeddin
 
     n_links counts the other rows linked directly (equal vectors are linked), component_id is the smallest id
     that links reach.  Rows without an id, and vectors that usable() leaves out, link with nothing; their
-    component is their own id.  Rows that repeat an id each count as a vector.  Equal vectors are compared once.
+    component is their own id.  Vectors of different lengths do not link.  Rows that repeat an id each count as a
+    vector.  Equal vectors are compared once.  Ties: a vector as near to two pivots takes the smaller number first,
+    and a cosine of exactly ``least`` links.  An empty table gives no rows; further columns are not returned.
     """
     rows = vectors.select(F.col(id).alias(id), F.col(vector).alias("vec"))
     good = usable(rows.where(F.col(id).isNotNull()), "vec")
     reps = good.groupBy("vec").agg(F.count("*").alias("w"), F.min(id).alias("low")).withColumn("rid", F.monotonically_increasing_id())
     reps = stored(reps, "vectors")
-    parts = stored(cosine_links(reps, reps.count(), least=least), "pairs")
+    parts = cosine_links(reps, least=least)
     roots = connected_components(parts.select(F.col("rid").alias("a"), F.col("star").alias("b")))
     sums = parts.groupBy("rid").agg(F.sum("links").alias("links"))
     own = reps.join(sums, "rid", "left").join(roots, F.col("rid") == F.col("node"), "left").withColumn("root", F.coalesce("component", "rid"))
     lows = own.groupBy("root").agg(F.min("low").alias("component_id"))
     own = own.join(lows, "root").select(F.col("vec").alias("_vec"), (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), "component_id")
+    own = stored(own, "vectors")
+    for done in (reps, parts):
+        discard(done)
     out = rows.join(own, (F.col("vec") == F.col("_vec")) & F.col(id).isNotNull(), "left")
     root = F.coalesce("component_id", id)
     return out.select(id, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), root.alias("component_id"), (F.col(id) == root).alias("kept"))
 
 
 def op7_pivotindex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links and components of all embeddings."""
+    """Links and components of all embeddings; nulls, ties, repeated rows and lengths as in near_vectors()."""
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))

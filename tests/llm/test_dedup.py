@@ -272,3 +272,36 @@ def test_few_pivots_lie_apart(spark):
         brute = (unit @ unit.T >= 0.9).sum(axis=1) - 1
         assert all(got[i] <= n for i, n in enumerate(brute))
         assert sum(got.values()) >= least * brute.sum() > 0
+
+
+def test_vector_links_against_all_pairs(spark, monkeypatch):
+    """Two lengths, pairs planted at 0.9 to 0.93, a tight group over many blocks, repeated vectors."""
+    monkeypatch.setattr(pivotindex, "BLOCK", 50)
+    rng = np.random.default_rng(8)
+    rows, brute, planted = [], {}, []
+    for d, n in ((64, 1500), (24, 700)):
+        base = rng.normal(size=(n, d))
+        base /= np.linalg.norm(base, axis=1)[:, None]
+        side = rng.normal(size=base.shape)
+        side -= (side * base).sum(axis=1)[:, None] * base
+        side /= np.linalg.norm(side, axis=1)[:, None]
+        c = rng.uniform(0.901, 0.93, n)[:, None]
+        group = base[0] + rng.normal(size=(300, d)) * 0.3 / d**0.5
+        x = np.concatenate((base, c * base + np.sqrt(1 - c * c) * side, group, base[:20])).astype(np.float32)
+        first = len(rows)
+        rows += [(first + i, v.tolist(), "x", 1) for i, v in enumerate(x)]
+        unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+        brute |= {first + i: int(k) - 1 for i, k in enumerate((unit @ unit.T >= 0.9).sum(axis=1))}
+        planted += [(first + i, first + n + i) for i in range(n)]
+    # further columns, named as the operator's own, are left aside
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, perm string, p int")
+    got = {r["vec_id"]: r for r in pivotindex.near_vectors(df).collect()}
+    assert got.keys() == brute.keys() and all(got[i]["n_links"] <= n for i, n in brute.items())
+    assert sum(r["n_links"] for r in got.values()) >= 0.97 * sum(brute.values())
+    assert sum(got[a]["component_id"] == got[b]["component_id"] for a, b in planted) >= 0.97 * len(planted)
+
+
+def test_shared_pivots_are_counted():
+    rng = np.random.default_rng(2)
+    a, b = (np.array([rng.choice(40, 12, replace=False) for _ in range(n)]) for n in (30, 50))
+    assert (pivotindex.shared_counts(a, b) == [[len({*x} & {*y}) for y in b.tolist()] for x in a.tolist()]).all()
