@@ -39,6 +39,10 @@ SIGNS = ".,;:!?|*%$#&)\""
 
 #: Words whose letters normalisation leaves alone but for case (the dotted capital I would become two characters).
 LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+#: A line each: a word of LATIN and the signs behind it, or any other word.
+WORD = re.compile(f"(?m)^(?:({LATIN.pattern})([{re.escape(SIGNS)}]*)|(.*))$")
+#: Words that are looked up, and characters of the documents that are encoded, at a time.
+WORDS, CHARACTERS = 1 << 16, 1 << 20
 #: Stands for a word's end where words of letters are encoded.
 WORD_END = b"\n"
 
@@ -85,12 +89,12 @@ def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
 
 
 @lru_cache(4)
-def encoder(name: str = TOKENIZER) -> Callable[[str | None], bytes]:
-    """A function from a text to its ids (little-endian 32 bit) as the public tokenizer gives them.
+def batch_encoder(name: str = TOKENIZER) -> Callable[[list[str | None]], list[bytes]]:
+    """A function from texts to their ids (little-endian 32 bit) as the public tokenizer gives them.
 
     The tokenizer never joins across a blank or a line feed, so words are encoded once and kept as long as the
-    worker lives.  A word of Latin letters is one pre-token, which merging its bytes encodes; the tokenizer itself
-    encodes all others.
+    worker lives.  A word of Latin letters is one pre-token, which merging its bytes encodes, whatever its case; the
+    tokenizer itself encodes all others.
     """
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -99,47 +103,51 @@ def encoder(name: str = TOKENIZER) -> Callable[[str | None], bytes]:
     tokenizer, of_letters = Tokenizer.from_file(path), word_encoder(path)
     cache: dict[str, bytes] = {"": b""}
 
-    def fresh(words: list[str]) -> None:
-        latin = [w for w in words if LATIN.fullmatch(w)]
-        others = [w for w in words if not LATIN.fullmatch(w)]
-        for at in range(0, len(latin), 1 << 14):
-            part = latin[at : at + (1 << 14)]
-            cache.update(zip(part, of_letters([w.lower() for w in part]), strict=True))
-        for w, e in zip(others, tokenizer.encode_batch(others, add_special_tokens=False), strict=True):
+    def plainly(words: set[str]) -> None:
+        words = list(words.difference(cache))
+        for w, e in zip(words, tokenizer.encode_batch(words, add_special_tokens=False), strict=True):
             cache[w] = np.array(e.ids, "<u4").tobytes()
 
-    def learn(words: set[str]) -> None:
-        """Encodes words; the tokenizer lowers letters, so ASCII words that differ in case alone are encoded once."""
-        low = {w: w.lower() for w in words if w.isascii() and w.isalpha()}
-        fresh(list({k for w in words if (k := low.get(w, w)) not in cache}))
-        for w, k in low.items():
-            if k in cache:
-                cache[w] = cache[k]
-
-    def encode(text: str | None) -> bytes:
-        out = []
-        words = (text or "").replace("\n", " ").split(" ")
-        for at in range(0, len(words), 1 << 16):
-            part = words[at : at + (1 << 16)]
-            try:
-                out.append(b"".join(map(cache.__getitem__, part)))
-            except KeyError:
-                if len(cache) > CACHE:
-                    cache.clear()
-                    cache[""] = b""
-                missing, split = {w for w in part if w not in cache}, {}
-                for w in missing:
-                    core = w.rstrip(SIGNS)
-                    if len(core) < len(w) and core and core[-1].lower()[-1].isalpha() and "<" not in w:
-                        split[w] = core, w[len(core) :]
-                learn({p for p in missing.difference(split).union(*split.values()) if p not in cache})
-                cache.update((w, cache[core] + cache[signs]) for w, (core, signs) in split.items())
-                out.append(b"".join(map(cache.__getitem__, part)))
-        return b"".join(out)
+    def learn(words: list[str]) -> None:
+        parts = WORD.findall("\n".join(words))
+        low = "\n".join([letters for letters, _, _ in parts]).lower().split("\n")
+        fresh = list(set(low).difference(cache))
+        for at in range(0, len(fresh), 1 << 14):
+            part = fresh[at : at + (1 << 14)]
+            cache.update(zip(part, of_letters(part), strict=True))
+        split = {}
+        for w in {other for _, _, other in parts if other}:
+            core = w.rstrip(SIGNS)
+            if len(core) < len(w) and core and core[-1].lower()[-1].isalpha() and "<" not in w:
+                split[w] = core, w[len(core) :]
+        plainly({other for _, _, other in parts if other not in split}.union({signs for _, signs, _ in parts}, *split.values()))
+        cache.update((w, cache[core] + cache[signs]) for w, (core, signs) in split.items())
+        cache.update((w, cache[k] + cache[signs]) for w, k, (letters, signs, _) in zip(words, low, parts, strict=True) if letters)
+
+    def known(lists: list[list[str]]) -> list[bytes]:
+        missing = set().union(*lists).difference(cache)
+        if len(cache) + len(missing) > CACHE:
+            cache.clear()
+            cache[""] = b""
+            missing = set().union(*lists).difference(cache)
+        if missing:
+            learn(list(missing))
+        return [b"".join(map(cache.__getitem__, words)) for words in lists]
+
+    def encode(texts: list[str | None]) -> list[bytes]:
+        lists = [(text or "").replace("\n", " ").split(" ") for text in texts]
+        short = iter(known([words for words in lists if len(words) <= WORDS]))
+        return [next(short) if len(words) <= WORDS else b"".join(known([words[at : at + WORDS]])[0] for at in range(0, len(words), WORDS)) for words in lists]
 
     return encode
 
 
+def encoder(name: str = TOKENIZER) -> Callable[[str | None], bytes]:
+    """batch_encoder() for one text at a time."""
+    encode = batch_encoder(name)
+    return lambda text: encode([text])[0]
+
+
 class Order:
     """Places a document among others by the two terms of it that come first in a random order of all terms.
 
@@ -167,17 +175,22 @@ def tokens(docs: DataFrame, id: str = "doc_id", text: str = "text", name: str =
     schema = arrow_schema("doc_id long, near long, ids binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, order, tail = encoder(name), Order(), np.array([end], "<u4").tobytes()
+        encode, order, tail = batch_encoder(name), Order(), np.array([end], "<u4").tobytes()
+
+        def encoded(docs: list, texts: list) -> pa.RecordBatch:
+            ids = [x + tail for x in encode(texts)]
+            return batch([(doc, order(np.frombuffer(x, "<u4")), x) for doc, x in zip(docs, ids, strict=True)], schema)
+
         for b in batches:
-            rows, held = [], 0
+            docs, texts, held = [], [], 0
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = encode(text.as_py()) + tail
-                rows.append((doc, order(np.frombuffer(ids, "<u4")), ids))
-                held += len(ids)
-                if held > 16 << 20:
-                    yield batch(rows, schema)
-                    rows, held = [], 0
-            yield batch(rows, schema)
+                docs.append(doc)
+                texts.append(text.as_py())
+                held += len(texts[-1] or "")
+                if held > CHARACTERS:
+                    yield encoded(docs, texts)
+                    docs, texts, held = [], [], 0
+            yield encoded(docs, texts)
 
     return docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, near long, ids binary")
 
@@ -188,12 +201,16 @@ def term_documents(held: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(1 << 16, np.int64)
+        last = np.zeros(len(count), np.int64)
         for b in batches:
             for x in b.column(0):
-                terms = np.unique(np.frombuffer(x.as_py(), "<u4"))
-                if len(terms) and terms[-1] >= len(count):
-                    count = np.concatenate((count, np.zeros(int(terms[-1]) + 1, np.int64)))
-                count[terms] += 1
+                ids = np.frombuffer(x.as_py(), "<u4")
+                if len(ids) and ids.max() >= len(count):
+                    count, last = (np.concatenate((v, np.zeros(int(ids.max()) + 1, np.int64))) for v in (count, last))
+                # each term once: where it stands last
+                place = np.arange(len(ids))
+                last[ids] = place
+                count[ids[last[ids] == place]] += 1
         some = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(count[some])], schema=schema)
 
@@ -204,12 +221,13 @@ class Index:
     """BM25 inverted index of one shard."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
-        uniques = [np.unique(d, return_counts=True) for d in docs]
-        self.terms = [u for u, _ in uniques]
-        size = np.array([len(u) for u in self.terms])
-        term, tf = (np.concatenate([u[i] for u in uniques]) for i in range(2))
-        doc = np.repeat(np.arange(len(docs)), size)
-        length = np.array([len(d) for d in docs], float)
+        length = np.array([len(d) for d in docs])
+        key = np.repeat(np.arange(len(docs)) * len(idf), length) + np.concatenate(docs)
+        key.sort()
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        tf = np.diff(first, append=len(key))
+        doc, term = np.divmod(key[first], len(idf))
+        self.terms = np.split(term, np.cumsum(np.bincount(doc, minlength=len(docs)))[:-1])
         norm = K1 * (1 - B + B * length / mean)
         weight = idf[term] * tf * (K1 + 1) / (tf + norm[doc])
         self.count = len(docs)
