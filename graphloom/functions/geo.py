@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Mean radius of the Earth in metres.
@@ -45,3 +47,22 @@ def geo_contains(polygon: Column, point: Column) -> Column:
 def box_intersects(a: Column, b: Column) -> Column:
     """Whether two boxes (structs west, south, east, north) share a point."""
     return (a["west"] <= b["east"]) & (b["west"] <= a["east"]) & (a["south"] <= b["north"]) & (b["south"] <= a["north"])
+
+
+def near(df: DataFrame, lat: str, lon: str, at: tuple[float, float], by: str, limit: int | None = 100) -> DataFrame:
+    """The rows nearest to a point (latitude, longitude) with their ``metres``, nearest first; ties by column ``by``.
+
+    Each task keeps ``limit`` rows of its own before they meet.  Rows without a place are left out.
+    """
+    out = df.withColumn("metres", distance(F.col(lat), F.col(lon), F.lit(at[0]), F.lit(at[1]))).where("metres is not null").orderBy("metres", by)
+    return out if limit is None else out.limit(limit)
+
+
+def within(df: DataFrame, lat: str, lon: str, at: tuple[float, float], radius: float) -> DataFrame:
+    """The rows within ``radius`` metres of a point (latitude, longitude), with their ``metres``.
+
+    A circle's latitudes bound it, so that a scan can be pruned by them before distances are worked out.
+    """
+    reach = math.degrees(radius / RADIUS) + 1e-9
+    rows = df.where(F.col(lat).between(at[0] - reach, at[0] + reach))
+    return rows.withColumn("metres", distance(F.col(lat), F.col(lon), F.lit(at[0]), F.lit(at[1]))).where(F.col("metres") <= radius)

@@ -3,24 +3,31 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.sources.mapping import Graph
 
 # Texts that stand for a missing value, and names of columns that may tell types apart.
-SENTINELS = ("null", "none", "n/a", "na", "unknown", "-", "?", "undefined", "nan", "missing")
+SENTINELS = ("NULL", "NONE", "NIL", "N/A", "NA", "UNKNOWN", "TBD", "TBA", "#N/A", "(NULL)")
+SENTINEL_SHARE, NUMERIC_SHARE = 0.02, 0.8
 FIRST_TIER = ("type", "_type", "entityType")
 SECOND_TIER = ("label", "labels", "kind")
 
+#: Nouns that end in "ie" in the singular, and those whose singular ends in "ies".
+IN_IE = ("movie", "cookie", "calorie", "zombie", "selfie", "rookie", "genie", "pie", "tie", "lie")
+UNCHANGED = ("series", "species")
+
 
 def profile(df: DataFrame) -> DataFrame:
     """(property, kind, rows, filled, different, sentinels, numeric_like) of each atomic column, in one pass.
 
-    ``different`` is an estimate; numeric_like is whether four in five filled texts read as numbers.
+    ``different`` is an estimate.  ``sentinels`` counts texts that stand for a missing value, where they are at least
+    SENTINEL_SHARE of the filled ones; numeric_like is whether NUMERIC_SHARE of the other ones read as numbers.
     """
     kinds = {f.name: f.dataType.typeName() for f in df.schema if f.dataType.typeName() not in ("array", "map", "struct")}
     parts = []
@@ -30,14 +37,22 @@ def profile(df: DataFrame) -> DataFrame:
         parts += [
             F.count(c).alias(f"{name}|filled"),
             F.approx_count_distinct(c).alias(f"{name}|different"),
-            F.count_if(F.lower(s).isin(*SENTINELS)).alias(f"{name}|sentinels"),
+            F.count_if(F.upper(F.trim(s)).isin(*SENTINELS)).alias(f"{name}|sentinels"),
             F.count_if(s.try_cast("double").isNotNull()).alias(f"{name}|numeric"),
         ]
     one = df.agg(F.count("*").alias("_rows"), *parts)
+    def numeric_like(n: str) -> Column:
+        rest = F.col(f"`{n}|filled`") - F.col(f"`{n}|sentinels`")
+        return (rest > 0) & (F.col(f"`{n}|numeric`") >= NUMERIC_SHARE * rest)
+
+    def sentinels(n: str) -> Column:
+        found = F.col(f"`{n}|sentinels`")
+        return F.when(found >= F.greatest(F.lit(1), F.floor(SENTINEL_SHARE * F.col(f"`{n}|filled`"))), found).otherwise(0)
+
     rows = [
         F.struct(
             F.lit(n).alias("property"), F.lit(k).alias("kind"), F.col("_rows").alias("rows"), F.col(f"`{n}|filled`").alias("filled"), F.col(f"`{n}|different`").alias("different"),
-            F.col(f"`{n}|sentinels`").alias("sentinels"), (F.col(f"`{n}|numeric`") >= 0.8 * F.greatest(F.col(f"`{n}|filled`"), F.lit(1))).alias("numeric_like"),
+            sentinels(n).alias("sentinels"), numeric_like(n).alias("numeric_like"),
         )
         for n, k in kinds.items()
     ]
@@ -116,10 +131,15 @@ class SchemaCache:
 
 def label_name(table: str) -> str:
     """A label for a table's name: singular, in PascalCase."""
-    words = [w for w in table.replace("-", "_").split("_") if w]
+    words = [w for w in re.split(r"[_\-\s]+", table) if w]
     if words:
-        w = words[-1]
-        words[-1] = w[:-3] + "y" if w.endswith("ies") else w[:-2] if w.endswith(("sses", "xes", "ches", "shes")) else w[:-1] if w.endswith("s") and not w.endswith("ss") else w
+        w, low = words[-1], words[-1].lower()
+        if low in UNCHANGED or low.endswith(("ss", "us", "is")) or not low.endswith("s"):
+            pass
+        elif low.endswith("ies") and low[:-1] not in IN_IE:
+            words[-1] = w[:-3] + "y"
+        else:
+            words[-1] = w[:-2] if low.endswith(("sses", "xes", "zes", "ches", "shes", "tuses")) else w[:-1]
     return "".join(w[:1].upper() + w[1:] for w in words)
 
 

@@ -11,7 +11,7 @@ from graphloom.functions import document, geo, scalar, search, vector
 from graphloom.operators import paths, update
 from graphloom.operators.match import Pattern, match, ordered, union, unwind
 from graphloom.operators.match import optional_match as begin_optional
-from graphloom.plans import schema
+from graphloom.plans import inference, schema
 from graphloom.sources.commerce import commerce_graph
 from graphloom.sources.mapping import EdgeType, Graph, NodeType
 
@@ -714,3 +714,88 @@ def property_profile(g: Graph) -> DataFrame:
 def tenant_scope(g: Graph) -> DataFrame:
     p = match(schema.tenant_view(g, "source", "src1"), "Document", "d")
     return p.df.groupBy(F.col("d__lang").alias("lang")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT 'events' AS "table", 'type' AS field, count(*) AS rows, count(event_type) AS filled, count(DISTINCT event_type) AS different FROM events
+UNION ALL SELECT 'parts', 'kind', count(*), count(p_brand), count(DISTINCT p_brand) FROM part""")
+def type_fields(g: Graph) -> DataFrame:
+    shared = {"events": g.table("events").withColumnRenamed("event_type", "type"), "parts": g.table("part").withColumnRenamed("p_brand", "kind"), "nation": g.table("nation")}
+    return inference.type_fields(shared)
+
+
+@query("""WITH s AS (SELECT DISTINCT l_orderkey AS k FROM lineitem), t AS (SELECT DISTINCT l_partkey AS k FROM lineitem)
+SELECT 'Order' AS label, (SELECT count(*) FROM s WHERE k IN (SELECT o_orderkey FROM orders)) AS sources, (SELECT count(*) FROM t WHERE k IN (SELECT o_orderkey FROM orders)) AS targets
+UNION ALL SELECT 'Part', (SELECT count(*) FROM s WHERE k IN (SELECT p_partkey FROM part)), (SELECT count(*) FROM t WHERE k IN (SELECT p_partkey FROM part))
+UNION ALL SELECT 'Message', 0, 0""")
+def edge_end_labels(g: Graph) -> DataFrame:
+    return inference.end_labels(g, g.table("lineitem"), "l_orderkey", "l_partkey", ["Order", "Part", "Message"])
+
+
+@query("""SELECT event_type AS label, count(*) AS nodes FROM events WHERE event_type IS NOT NULL GROUP BY 1 UNION ALL SELECT 'Customer', count(*) FROM customer
+UNION ALL SELECT 'Order', count(*) FROM orders UNION ALL SELECT 'Customer-ORDERS-Order', count(*) FROM orders WHERE o_custkey IS NOT NULL AND o_orderkey IS NOT NULL""")
+def inferred_graph(g: Graph) -> DataFrame:
+    tables = {"events": g.table("events").withColumnRenamed("event_type", "type"), "customers": g.table("customer"), "orders": g.table("orders")}
+    h = inference.infer_graph(tables, {"events": "event_id", "customers": "c_custkey", "orders": "o_orderkey"}, {"orders": ("o_custkey", "o_orderkey")})
+    e = h.types["ORDERS"]
+    # customers' and orders' keys overlap, so the side's label is the one that holds more of its ends
+    edges = h.edges("ORDERS").agg(F.lit(f"{e.from_label}-ORDERS-{e.to_label}").alias("label"), F.count("*").alias("nodes"))
+    return schema.label_counts(Graph(h.tables, h.labels, {})).unionByName(edges)
+
+
+@query("""SELECT 'state' AS property, count(*) AS rows, count(*) FILTER (o_orderkey % 3 <> 0) AS filled, count(*) FILTER (o_orderkey % 3 = 1) AS sentinels, true AS numeric_like FROM orders
+UNION ALL SELECT 'rare', count(*), count(*), 0, false FROM orders""")
+def property_sentinels(g: Graph) -> DataFrame:
+    k = F.col("o_orderkey")
+    df = g.table("orders").select(F.when(k % 3 == 1, " n/a").when(k % 3 == 2, k.cast("string")).alias("state"), F.when(k == 7, "TBD").otherwise("x").alias("rare"))
+    return schema.profile(df).select("property", "rows", "filled", big(F.col("sentinels")).alias("sentinels"), "numeric_like")
+
+
+# ---------------------------------------------------------------- places, lists and documents
+
+SPOT = "c_custkey AS id, (c_custkey * 7 % 120 - 60 + c_acctbal % 1)::DOUBLE AS lat, (c_custkey * 29 % 360 - 180)::DOUBLE AS lon FROM customer"
+METRES = """2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin((radians(10.3) - radians(lat)) / 2), 2)
++ cos(radians(lat)) * cos(radians(10.3)) * pow(sin((radians(20.7) - radians(lon)) / 2), 2))))"""
+
+
+def _spots(g: Graph) -> DataFrame:
+    k = F.col("c_custkey")
+    return g.table("customer").select(k.alias("id"), (k * 7 % 120 - 60 + F.col("c_acctbal") % 1).cast("double").alias("lat"), (k * 29 % 360 - 180).cast("double").alias("lon"))
+
+
+@query(f"SELECT id, round(metres, 1) AS metres FROM (SELECT id, {METRES} AS metres FROM (SELECT {SPOT})) ORDER BY metres, id LIMIT 100")
+def near_point(g: Graph) -> DataFrame:
+    return geo.near(_spots(g), "lat", "lon", (10.3, 20.7), "id").select("id", F.round("metres", 1).alias("metres"))
+
+
+@query(f"SELECT id, round(metres, 1) AS metres FROM (SELECT id, {METRES} AS metres FROM (SELECT {SPOT})) WHERE metres <= 3000000")
+def within_radius(g: Graph) -> DataFrame:
+    return geo.within(_spots(g), "lat", "lon", (10.3, 20.7), 3_000_000).select("id", F.round("metres", 1).alias("metres"))
+
+
+@query(f"""SELECT id, metres >= 1000000 AND metres < 5000000 AS ring, lon <= 30 AND lon + 10 >= -20 AND lat <= 40 AND lat + 5 >= 0 AS meets
+FROM (SELECT id, lat, lon, {METRES} AS metres FROM (SELECT {SPOT}))""")
+def geo_ranges(g: Graph) -> DataFrame:
+    spot, middle = geo.geo_point(F.col("lon"), F.col("lat")), geo.geo_point(F.lit(20.7), F.lit(10.3))
+    own = F.struct(F.col("lon").alias("west"), F.col("lat").alias("south"), (F.col("lon") + 10).alias("east"), (F.col("lat") + 5).alias("north"))
+    box = F.struct(F.lit(-20.0).alias("west"), F.lit(0.0).alias("south"), F.lit(30.0).alias("east"), F.lit(40.0).alias("north"))
+    return _spots(g).select("id", geo.geo_in_range(spot, middle, 1e6, 5e6, with_high=False).alias("ring"), geo.box_intersects(own, box).alias("meets"))
+
+
+@query("""WITH l AS (SELECT l_orderkey AS o, list(l_linenumber ORDER BY l_linenumber, l_partkey) AS xs FROM lineitem GROUP BY 1)
+SELECT o, xs[-2] AS second_last, len(xs[2:3]) AS middle, len(xs) - 1 AS rest, xs[2] AS after_first, 2 * len(xs) AS both FROM l""")
+def list_access(g: Graph) -> DataFrame:
+    rows = g.table("lineitem").groupBy(F.col("l_orderkey").alias("o")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_linenumber"]).alias("xs"))
+    xs = F.col("xs")
+    sizes = [big(F.size(x)).alias(n) for n, x in (("middle", scalar.part(xs, 1, 3)), ("rest", scalar.tail(xs)), ("both", document.flatten(F.array(xs, xs))))]
+    return rows.select("o", scalar.item(xs, -2).alias("second_last"), scalar.head(scalar.tail(xs)).alias("after_first"), *sizes)
+
+
+@query("""SELECT c_custkey AS id, c_nationkey > 10 AS has_nation, false AS has_none, c_name AS name, strftime(TIMESTAMP '2020-01-02 03:04:05' + to_days((c_custkey % 300)::INTEGER), '%Y-%m-%dT%H:%M:%S.000Z') AS at FROM customer""")
+def node_properties(g: Graph) -> DataFrame:
+    p = match(g, "Customer", "c")
+    df = p.df.withColumn("c__c_nationkey", F.when(F.col("c__c_nationkey") > 10, F.col("c__c_nationkey")))
+    df = df.withColumn("all", scalar.properties(df, "c"))
+    at = F.expr("timestamp_ntz '2020-01-02 03:04:05' + make_interval(0, 0, 0, cast(c___id % 300 as int))")
+    return df.select(F.col("c___id").alias("id"), document.has(df, "all", "c_nationkey").alias("has_nation"), document.has(df, "all", "none").alias("has_none"), "all.c_name", at.alias("t")).select(
+        "id", "has_nation", "has_none", F.col("c_name").alias("name"), scalar.iso(F.col("t")).alias("at")
+    )

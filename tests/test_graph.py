@@ -208,3 +208,24 @@ def test_mapping_round_trip(spark, graph):
     assert graph_from_mapping(again, {}).labels.keys() == graph.labels.keys()
     back = graph_from_mapping(again, {})
     assert {k: (t.from_label, t.to_label, t.type_value) for k, t in back.types.items()} == {k: (t.from_label, t.to_label, t.type_value) for k, t in graph.types.items()}
+
+
+def test_inference(spark):
+    from graphloom.plans import inference
+
+    assert [schema.label_name(x) for x in ("movies", "status", "companies", "series", "statuses", "cookies")] == ["Movie", "Status", "Company", "Series", "Status", "Cookie"]
+    people = spark.createDataFrame([(1, "a"), (2, "b")], "id long, name string")
+    shared = spark.createDataFrame([(7, "Film"), (8, "Book"), (9, "Book")], "id long, type string")
+    likes = spark.createDataFrame([(1, 7, "LIKES"), (2, 8, "READ"), (2, 9, "READ"), (1, None, "READ")], "a long, b long, relation string")
+    knows = spark.createDataFrame([(1, 2), (5, 5)], "a long, b long")
+    empty = people.limit(0)
+    assert inference.storage_style({"people": people}, {"knows": knows}) == "pg"
+    assert inference.storage_style({"things": shared}, {"likes": likes}) == "lpg"
+    assert inference.storage_style({"people": people, "things": shared}, {"likes": likes}) == "hybrid"
+    assert inference.storage_style({"people": empty}, {}) == "unknown"
+    tables = {"people": people, "things": shared, "likes": likes, "knows": knows}
+    g = inference.infer_graph(tables, {"people": "id", "things": "id"}, {"likes": ("a", "b"), "knows": ("a", "b")})
+    assert set(g.labels) == {"Film", "Book"} | {schema.label_name("people")}
+    assert {k: (t.from_label, t.to_label) for k, t in g.types.items()} == {"LIKES": ("People", "Film"), "READ": ("People", "Book"), "KNOWS": ("People", "People")}
+    assert inference.edge_ends(g, knows.limit(0), "a", "b") == (None, None)
+    assert inference.type_fields({"people": people}).count() == 0
