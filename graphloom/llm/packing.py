@@ -237,7 +237,7 @@ class Index:
         often = np.flatnonzero(df * DENSE > len(docs))
         self.row = np.full(len(df), -1)
         self.row[often] = np.arange(len(often))
-        self.dense = np.zeros((len(often), len(docs)))
+        self.dense = np.zeros((len(often), len(docs)), np.float32)
         rare = self.row[term] < 0
         self.dense[self.row[term[~rare]], doc[~rare]] = weight[~rare]
         term, doc, weight = term[rare], doc[rare], weight[rare]
@@ -252,7 +252,11 @@ class Index:
         first = np.where(terms, self.end[terms - 1], 0)
         n = self.end[terms] - first
         post = np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
-        return self.dense[rows[rows >= 0]].sum(axis=0) + np.bincount(self.doc[post], self.weight[post], self.count)
+        scores = np.bincount(self.doc[post], self.weight[post], self.count).astype(np.float32)
+        # row by row, as the sums stay in the processor's cache
+        for row in rows[rows >= 0].tolist():
+            scores += self.dense[row]
+        return scores
 
 
 def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WINDOW) -> Iterator[tuple[int, int, int, int, int]]:
@@ -278,7 +282,7 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int
         now, seed = seed, None
         if not used:
             continue
-        scores = np.where(left, index.scores(now), -1.0)
+        scores = np.where(left, index.scores(now), np.float32(-1))
         while used and left.any():
             best = int(np.argmax(scores))
             left[best], scores[best] = False, -1.0
