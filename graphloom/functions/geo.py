@@ -49,12 +49,15 @@ def box_intersects(a: Column, b: Column) -> Column:
     return (a["west"] <= b["east"]) & (b["west"] <= a["east"]) & (a["south"] <= b["north"]) & (b["south"] <= a["north"])
 
 
-def near(df: DataFrame, lat: str, lon: str, at: tuple[float, float], by: str, limit: int | None = 100) -> DataFrame:
+def near(df: DataFrame, lat: str, lon: str, at: tuple[float, float], by: str, limit: int | None = 100, digits: int | None = None) -> DataFrame:
     """The rows nearest to a point (latitude, longitude) with their ``metres``, nearest first; ties by column ``by``.
 
+    With ``digits``, metres are rounded before rows are ranked, so that rows of one rounded distance are ties.
     Each task keeps ``limit`` rows of its own before they meet.  Rows without a place are left out.
     """
-    out = df.withColumn("metres", distance(F.col(lat), F.col(lon), F.lit(at[0]), F.lit(at[1]))).where("metres is not null").orderBy("metres", by)
+    metres = distance(F.col(lat), F.col(lon), F.lit(at[0]), F.lit(at[1]))
+    metres = metres if digits is None else F.round(metres, digits)
+    out = df.withColumn("metres", metres).where("metres is not null").orderBy("metres", by)
     return out if limit is None else out.limit(limit)
 
 

@@ -1,6 +1,7 @@
 """Every query against its SQL in DuckDB, on the smallest tables."""
 
 import os
+import shutil
 
 import duckdb
 import pytest
@@ -33,3 +34,22 @@ def test_query(spark, sql, name):
     assert sorted(names) == columns
     places = [names.index(c) for c in columns]
     assert got == sorted((tuple(plain(r[i]) for i in places) for r in result.fetchall()), key=repr)
+
+
+def folder_with(tmp_path, name, select):
+    """The smallest tables with one of them replaced by a DuckDB select, and a connection that has it."""
+    for file in os.listdir(FOLDER):
+        if file != f"{name}.parquet":
+            shutil.copy(f"{FOLDER}/{file}", tmp_path / file)
+    con = duckdb.connect()
+    con.execute(f"COPY ({select}) TO '{tmp_path}/{name}.parquet'")
+    con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    return str(tmp_path), con
+
+
+def test_near_point_ties_of_rounded_metres(spark, tmp_path):
+    """The last places go by the rounded distance and then by id, however many customers are in one place."""
+    copies = f"SELECT c_custkey + 150 * i AS c_custkey, c_name, c_nationkey, (round(9000.37 - 40 * i, 2))::DOUBLE AS c_acctbal, c_mktsegment FROM '{FOLDER}/customer.parquet', range(200) t(i)"
+    folder, con = folder_with(tmp_path, "customer", copies)
+    got = [(r["id"], r["metres"]) for r in queries.QUERIES["near_point"](spark, folder).collect()]
+    assert got == con.execute(queries.ORACLE_SQL["near_point"]).fetchall()
