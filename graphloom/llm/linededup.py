@@ -30,6 +30,8 @@ LONG, SHORT = 64, 80
 FEW = 10
 #: Lines of a bucket up to which all are compared, and the lines of a block in the exact search of larger ones.
 SMALL, BLOCK = 32, 256
+#: Longs of a line's bitmap of shingles.
+WORDS = 8
 #: Rows up to which a table (a few longs a row) is broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -111,13 +113,33 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.where(F.col("i") >= SIMILAR * (F.col("n") - F.col("i")) - 1e-9).select("a", "b")
 
 
-def _prefix_pairs(late: DataFrame, texts: DataFrame) -> DataFrame:
+def sketches(lines: DataFrame) -> DataFrame:
+    """(lid, places, sketch): a bitmap of WORDS * 64 bits of each line's (lid, norm) shingles, hashed in generated code."""
+    rows = lines.select("lid", F.encode("norm", "UTF-32").alias("data"), F.size(_places("norm")).alias("places"), _places("norm").alias("at"))
+    rows = rows.select("lid", "data", "places", F.explode("at").alias("i")).select("lid", "places", _at(F.col("data"), F.col("i")).alias("h"))
+    word, bit = F.pmod(F.shiftrightunsigned("h", 6), F.lit(WORDS)), F.expr("shiftleft(1L, cast(h & 63 as int))")
+    bits = [F.bit_or(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k in range(WORDS)]
+    return rows.groupBy("lid", "places").agg(*bits).select("lid", "places", F.struct(*[f"w{k}" for k in range(WORDS)]).alias("sketch"))
+
+
+def _may_be_near(x: str, y: str) -> Column:
+    """False only of lines whose similarity is under SIMILAR.
+
+    Sets of n shingles together that reach it differ in (1 - SIMILAR) / (1 + SIMILAR) * n of them at most, and each
+    bit in which two bitmaps differ is another such shingle.
+    """
+    bits = sum((F.bit_count(F.col(f"sketch{x}.w{k}").bitwiseXOR(F.col(f"sketch{y}.w{k}"))) for k in range(WORDS)), F.lit(0))
+    return bits <= (1 - SIMILAR) / (1 + SIMILAR) * (F.col(f"places{x}") + F.col(f"places{y}")) + 1e-9
+
+
+def _prefix_pairs(late: DataFrame, texts: DataFrame, drawn: DataFrame | None = None) -> DataFrame:
     """Pairs (x, y) of lines (lid, c) of different components c, among them every pair whose Jaccard similarity reaches SIMILAR.
 
     A line's shingles are ordered by how many lines have them, rarest first.  Of n shingles SIMILAR * n at least
     are in a near line too, so two near lines share one of the first n - SIMILAR * n + 1 of each.  The lengths and
-    the places of a shared shingle bound what can still be shared.
+    the places of a shared shingle bound what can still be shared, and so do the bitmaps ``drawn`` of the lines.
     """
+    drawn = sketches(late.join(texts, "lid").select("lid", "norm")) if drawn is None else drawn
     rows = late.join(texts.select("lid", "norm"), "lid").select("lid", "c", F.explode(shingle_hashes("norm")).alias("h"))
     rows = stored(rows, "shingles")
     # a shingle that one line alone has stays in the order, but finds nothing
@@ -129,11 +151,12 @@ def _prefix_pairs(late: DataFrame, texts: DataFrame) -> DataFrame:
     posted = posted.select("lid", "c", "n", "place", "e.h", F.ceil(F.col("e.m") / BLOCK).cast("int").alias("blocks"))
     posted = posted.withColumn("block", F.pmod(F.xxhash64("lid"), F.col("blocks")).cast("int"))
     posted = posted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    posted = stored(posted.select("h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "lid", "c", "n", "place"), "posted")
-    x, y = (posted.select("h", "i", "j", *[F.col(k).alias(f"{k}{t}") for k in ("lid", "c", "n", "place")]) for t in "xy")
+    posted = posted.select("h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "lid", "c", "n", "place")
+    posted = stored(posted.join(drawn, "lid"), "posted")
+    x, y = (posted.select("h", "i", "j", *[F.col(k).alias(f"{k}{t}") for k in ("lid", "c", "n", "place", "places", "sketch")]) for t in "xy")
     both = x.join(y, ["h", "i", "j"]).where("lidx > lidy and cx <> cy")
     shared = F.least(F.col("nx") - F.col("placex"), F.col("ny") - F.col("placey"))
-    both = both.where((shared >= SIMILAR / (1 + SIMILAR) * (F.col("nx") + F.col("ny")) - 1e-9) & (F.least("nx", "ny") >= SIMILAR * F.greatest("nx", "ny") - 1e-9))
+    both = both.where((shared >= SIMILAR / (1 + SIMILAR) * (F.col("nx") + F.col("ny")) - 1e-9) & (F.least("nx", "ny") >= SIMILAR * F.greatest("nx", "ny") - 1e-9) & _may_be_near("x", "y"))
     return both.select(F.col("lidx").alias("x"), F.col("lidy").alias("y")).distinct()
 
 
@@ -166,14 +189,16 @@ def _line_roots(lines: DataFrame) -> DataFrame:
 
     roots = _components(members.select(F.col("lid").alias("x"), F.col("lo").alias("y")).where("x <> y"), texts)
     mixed = _mixed(members, roots)
-    few = mixed.where(F.col("n") <= SMALL).select("band", F.col("lid").alias("x"), F.col("c").alias("cx"))
-    few = few.join(few.select("band", F.col("x").alias("y"), F.col("cx").alias("cy")), "band").where("x > y and cx <> cy").select("x", "y")
+    drawn = stored(sketches(texts.join(mixed.select("lid").distinct(), "lid", "left_semi")), "sketches")
+    few = mixed.where(F.col("n") <= SMALL).join(drawn, "lid")
+    x, y = (few.select("band", F.col("lid").alias(t), *[F.col(k).alias(f"{k}{t}") for k in ("c", "places", "sketch")]) for t in "xy")
+    few = x.join(y, "band").where((F.col("x") > F.col("y")) & (F.col("cx") != F.col("cy")) & _may_be_near("x", "y")).select("x", "y")
     roots = _components(few, texts, roots)
     large = _mixed(mixed.where(F.col("n") > SMALL).select("band", "lid", "n"), roots)
     late = stored(large.select("lid", "c").distinct(), "late")
     if not late.isEmpty():
-        roots = _components(_prefix_pairs(late, texts), texts, roots)
-    for done in (posted, shared, members, wanted, texts, mixed, large, late):
+        roots = _components(_prefix_pairs(late, texts, drawn), texts, roots)
+    for done in (posted, shared, members, wanted, texts, mixed, drawn, large, late):
         discard(done)
     return roots
 

@@ -305,3 +305,23 @@ def test_shared_pivots_are_counted():
     rng = np.random.default_rng(2)
     a, b = (np.array([rng.choice(40, 12, replace=False) for _ in range(n)]) for n in (30, 50))
     assert (pivotindex.shared_counts(a, b) == [[len({*x} & {*y}) for y in b.tolist()] for x in a.tolist()]).all()
+
+
+def test_line_bitmaps_pass_every_near_pair(spark):
+    """The bitmaps' bound holds for pairs at 0.8 or more of any length, and leaves few of the others."""
+    draw = random.Random(8)
+    lines = []
+    for size in [9, 12, 30, 60, 120, 300, 900] * 12:
+        a = "".join(draw.choice("abcdefgh ") for _ in range(size))
+        b = list(a)
+        for _ in range(draw.randint(1, 1 + size // 40)):
+            b[draw.randrange(len(b))] = "z"
+        lines += [a, "".join(b)]
+    df = spark.createDataFrame(list(enumerate(lines)), "lid long, norm string")
+    x, y = (linededup.sketches(df).select(F.col("lid").alias(k), F.col("places").alias(f"places{k}"), F.col("sketch").alias(f"sketch{k}")) for k in "xy")
+    passed = {(r["x"], r["y"]) for r in x.join(y, F.col("x") < F.col("y")).where(linededup._may_be_near("x", "y")).select("x", "y").collect()}
+    sets = [plain_shingles(line) for line in lines]
+    near = {(i, j) for i in range(len(lines)) for j in range(i + 1, len(lines)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert near and near <= passed
+    short = {(i, j) for i, j in passed if max(len(lines[i]), len(lines[j])) <= 300}
+    assert len(short) < 2 * len(near) + 20
