@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.components import connected_components
-from graphloom.llm.shared import discard, stored
+from graphloom.llm.shared import discard, release, stored
 
 #: Characters of a shingle, signature values of a short line, values of a band, bands of a long line, least similarity.
 SHINGLE, SIGNATURE, RUN, BANDS, SIMILAR = 9, 14, 3, 7, 0.8
@@ -181,13 +181,16 @@ def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
 def _line_roots(lines: DataFrame) -> DataFrame:
     """(node, component) of the lines (lid, norm) that are near another one."""
     posted = stored(short_bands(lines).unionByName(long_bands(lines)), "posted")
+    release(lines.sparkSession)
     shared = posted.groupBy("band").agg(F.min("lid").alias("lo"), F.max("lid").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("band", "lo", "n")
     shared = stored(shared, "bands")
     members = stored(posted.join(_small(shared), "band"), "members")
     wanted = stored(members.select("lid").distinct(), "wanted")
     texts = stored(lines.select("lid", "norm").join(_small(wanted), "lid", "left_semi"), "texts")
 
+    release(lines.sparkSession)
     roots = _components(members.select(F.col("lid").alias("x"), F.col("lo").alias("y")).where("x <> y"), texts)
+    release(lines.sparkSession)
     mixed = _mixed(members, roots)
     drawn = stored(sketches(texts.join(mixed.select("lid").distinct(), "lid", "left_semi")), "sketches")
     few = mixed.where(F.col("n") <= SMALL).join(drawn, "lid")
@@ -217,12 +220,14 @@ def line_components(docs: DataFrame, id: str = "doc_id", text: str = "text", fol
     place = F.struct("id", "tkey", "pos")
     lines = marks.groupBy("k1", "k2").agg(F.first("norm").alias("norm"), F.min(place).alias("first"))
     lines = stored(lines.withColumn("lid", F.monotonically_increasing_id()), "lines")
+    release(docs.sparkSession)
     roots = _line_roots(lines.select("lid", "norm"))
     firsts = lines.select("k1", "k2", "lid", "first").join(roots, F.col("lid") == F.col("node"), "left").select("k1", "k2", "first", F.coalesce("component", "lid").alias("component"))
     keep = firsts.groupBy("component").agg(F.min("first").alias("keep"))
     fate = stored(firsts.join(keep, "component").select("k1", "k2", "component", "keep"), "fate")
     for done in (lines, roots):
         discard(done)
+    release(docs.sparkSession)
     out = marks.select("id", "tkey", "pos", "k1", "k2").join(fate, ["k1", "k2"])
     return out.select("id", "tkey", "pos", "component", place.eqNullSafe(F.col("keep")).alias("kept"))
 

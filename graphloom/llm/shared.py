@@ -6,7 +6,9 @@ setting out (tests) gets a temporary folder instead.
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,3 +50,11 @@ def discard(df: DataFrame) -> None:
         spark = df.sparkSession
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of ended jobs now: it does so once Python and the JVM have collected their plans."""
+    for _ in range(2):  # what Python let go is known to the JVM a little later
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)

@@ -2,13 +2,14 @@
 
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from graphloom.llm import components, linededup, pivotindex, simhash
+from graphloom.llm import components, linededup, pivotindex, shared, simhash
 
 random.seed(7)
 VOCABULARY = ["".join(random.choice("abcdefghiéñß") for _ in range(random.randint(2, 9))) for _ in range(300)]
@@ -325,3 +326,16 @@ def test_line_bitmaps_pass_every_near_pair(spark):
     assert near and near <= passed
     short = {(i, j) for i, j in passed if max(len(lines[i]), len(lines[j])) <= 300}
     assert len(short) < 2 * len(near) + 20
+
+
+def test_release_deletes_the_shuffles_of_ended_jobs(spark):
+    def shuffled():
+        return sum(f.stat().st_size for f in Path(spark.conf.get("spark.local.dir")).rglob("shuffle_*.data"))
+
+    shared.release(spark)
+    before = shuffled()
+    out = shared.stored(spark.range(200_000).select((F.col("id") % 100_003).alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("v")).groupBy("k").agg(F.first("v").alias("v")), "t")
+    made = shuffled() - before
+    shared.release(spark)
+    assert made > 5_000_000 and shuffled() < before + made / 10
+    assert out.count() == 100_003
