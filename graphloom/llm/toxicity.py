@@ -14,7 +14,7 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
 from itertools import chain, groupby
@@ -45,6 +45,8 @@ REPEAT = re.compile(rf"({LETTER})\1\1")
 SIGN_COST, DOUBLE_COST = math.log(0.05), math.log(0.2)
 #: Marks around a word that are no part of it; letters spelled apart are at least so many tokens.
 BEFORE, BEHIND, APART = "\"'([{*#-_", ".,;:?!\"')]}*%#&-_", 4
+#: As many tokens of one letter in a row as a word spelled apart has without its first and last.
+SINGLES = b"\1" * (APART - 2)
 #: Cells that trigrams, and letter pairs, are counted in, by their hash: a bound for any alphabet that drops no letter.
 CELLS = 1 << 20
 EDGE = "^"
@@ -183,6 +185,8 @@ class Restorer:
 
     def apart(self, tokens: list[str]) -> set[str]:
         """The words that lower-cased tokens of one letter each spell; marks may stand before the first and behind the last."""
+        if SINGLES not in bytes(map((1).__eq__, map(len, tokens))):
+            return set()
         single = [i for i, t in enumerate(tokens) if len(t) == 1]
         if len(single) < APART - 2:
             return set()
@@ -281,34 +285,45 @@ class ToxicityModel:
     _said: dict[str, tuple[str, ...]] = field(default_factory=dict, repr=False)
 
     def _says(self, token: str) -> tuple[str, ...]:
-        """The words of a token that have a weight; most have none, which their first letters tell."""
-        if token.isalpha() and token[:SHORTEST_STEM] not in self._starts and not REPEAT.search(token):
-            got = ()
-        else:
-            got = tuple(w for w in self.chars.restorer.token(token) if self._weigh(w) > 0)
-        if len(self._said) >= CACHE:
-            self._said.clear()
-        self._said[token] = got
-        return got
+        """The words of a token that have a weight; a token of letters with marks around it is one word, not to be restored."""
+        core = token if token.isalpha() else token.lstrip(BEFORE).rstrip(BEHIND)
+        if core.isalpha() and not REPEAT.search(core):
+            return (core,) if self._weigh(core) > 0 else ()
+        return tuple(w for w in self.chars.restorer.token(token) if self._weigh(w) > 0)
 
     def score(self, text: str | None) -> float:
         if not hasattr(self, "_weigh"):  # kept as long as the worker has the model
             self._weigh = weigher(self.weights)
-            self._starts = {f.removesuffix("$")[:SHORTEST_STEM] for f in self.weights}
         tokens = (text or "").lower().split()
         different, said = set(tokens), self._said
-        try:
-            parts = list(map(said.__getitem__, different))
-        except KeyError:
-            parts = [said[t] if t in said else self._says(t) for t in different]
-        found = self.chars.restorer.apart(tokens).union(chain.from_iterable(parts))
+        if len(said) + len(different) > CACHE:
+            said.clear()
+        for t in different.difference(said):
+            said[t] = self._says(t)
+        found = self.chars.restorer.apart(tokens).union(chain.from_iterable(set(map(said.__getitem__, different))))
         x = evidence(found, self._weigh, len(different)) @ self.coefficients
         return float(1 / (1 + math.exp(-min(30.0, max(-30.0, x)))))
 
 
+def starts(names: Iterable[str]) -> set[str]:
+    """The first letters of features; a word that begins otherwise has none of them."""
+    return {f.removesuffix("$")[:SHORTEST_STEM] for f in names}
+
+
 def weigher(weights: dict[str, float]) -> Callable[[str], float]:
     """The largest weight among a word's features; 0 if it has none."""
-    return lambda word: max(map(weights.get, features(word), [0.0] * (2 + LONGEST_STEM)))
+    begun, get = starts(weights), weights.get
+
+    def weigh(word: str) -> float:
+        if word[:SHORTEST_STEM] not in begun:
+            return 0.0
+        most = get(word + "$", 0.0)
+        for n in range(SHORTEST_STEM, min(len(word), LONGEST_STEM) + 1):
+            if (x := get(word[:n], 0.0)) > most:
+                most = x
+        return most
+
+    return weigh
 
 
 def evidence(found: set[str], weigh: Callable[[str], float], n: int) -> np.ndarray:
@@ -379,10 +394,11 @@ def fit(docs: DataFrame, labels: DataFrame, chars: CharModel, id: str = "doc_id"
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {f: i for i, f in enumerate(crossed.value.column("f").to_pylist())}
+        begun = starts(place)
         weights = [crossed.value.column(f"w{k}").to_pylist() for k in range(FOLDS)]
         weigh = [lambda word, w=w: max((w[place[f]] for f in features(word) if f in place), default=0.0) for w in weights]
         for b in batches:
-            rows = [(y, *evidence(set(found), weigh[fold], n).tolist()) for fold, y, n, found in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True)]
+            rows = [(y, *evidence({w for w in found if w[:SHORTEST_STEM] in begun}, weigh[fold], n).tolist()) for fold, y, n, found in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True)]
             yield batch(rows, points)
 
     got = words.mapInArrow(rate, "y int, c double, a double, b double, d double, n double").toArrow()

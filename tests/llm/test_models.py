@@ -236,3 +236,23 @@ def test_toxicity_on_edge_cases(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/none/labels.parquet")
     spark.createDataFrame(rows[:3], "doc_id long, text string").write.parquet(f"{tmp_path}/none/documents.parquet")
     assert {r["predicted"] for r in toxicity.op4_toxicity(spark, f"{tmp_path}/none").collect()} == {0}
+
+
+def test_scores_do_not_hang_on_the_cache(monkeypatch):
+    """Words in marks, disguised, spelled apart and repeated say the same whatever the worker has kept; plain words are not decoded."""
+    chars = toxicity.CharModel({t: 9 for w in ("idiot", "moron", "nice") for t in [("^^" + w + "^")[i : i + 3] for i in range(len(w) + 1)]})
+    weights = {"idiot$": 2.0, "idio": 1.0, "moron": 1.5, "dog$": 0.5}
+    texts = ["a nice day, (idiot)", "1d10t! and i d i o t", "(iiidiot), moronic", "DOG: dogs", "a b c", "x " * 9, "", None, "moron's *dog*"]
+    model = toxicity.ToxicityModel(chars, weights, np.array([-4.0, 1.0, 1.0, 1.0, 0.1]))
+    weigh = lambda w: max((weights.get(f, 0.0) for f in toxicity.features(w)), default=0.0)
+    plain = []
+    for text in texts:
+        x = toxicity.evidence(toxicity.Restorer(chars).words(text), weigh, len(set((text or "").lower().split()))) @ model.coefficients
+        plain.append(float(1 / (1 + np.exp(-x))))
+    assert np.allclose([model.score(t) for t in texts], plain, rtol=1e-12)
+    monkeypatch.setattr(toxicity, "CACHE", 3)
+    assert np.allclose([model.score(t) for t in texts * 2], plain * 2, rtol=1e-12)
+    decoded = []
+    monkeypatch.setattr(toxicity.Restorer, "token", lambda self, token: decoded.append(token) or set())
+    toxicity.ToxicityModel(chars, weights, model.coefficients).score('idiots, "idiomatic" (idiot)')
+    assert not decoded
