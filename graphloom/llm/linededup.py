@@ -6,15 +6,16 @@ Jaccard similarity of the sets of all shingles verifies them, and distributed co
 
 No bucket is expanded into all its pairs.  First every line is compared with the first line of each of its buckets.
 Where a bucket's lines are not one component after that, a small bucket's lines of different components are compared
-with each other; a large one is searched exactly by prefix filter: lines that are near share one of the few rarest
-shingles of each, so all lines with such a shingle in common are compared, in blocks of bounded size.
+with each other, a large one's lines with some more of its lines, which joins most of them.  What is still of several
+components is searched exactly by prefix filter: lines that are near share one of the few rarest shingles of each, so all
+lines of different components with such a shingle in common are compared, in blocks of bounded size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.components import connected_components
@@ -29,9 +30,11 @@ LONG, SHORT = 64, 80
 #: Lines with at most this many shingles also have bands of single values, so many that near ones always share one.
 FEW = 10
 #: Lines of a bucket up to which all are compared, and the lines of a block in the exact search of larger ones.
-SMALL, BLOCK = 32, 256
+SMALL, BLOCK = 32, 1024
+#: Lines of a large bucket, on average, that all of its lines are compared with before the exact search.
+LEADERS = 16
 #: Longs of a line's bitmap of shingles.
-WORDS = 8
+WORDS = 32
 #: Rows up to which a table (a few longs a row) is broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -106,68 +109,88 @@ def lines_of(docs: DataFrame, id: str, text: str, fold: bool = False) -> DataFra
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have a Jaccard similarity of SIMILAR or more; texts has (lid, norm)."""
-    a, b = (texts.select(F.col("lid").alias(k), F.col("norm").alias(f"t{k}")) for k in "ab")
-    both = pairs.join(a, "a").join(b, "b").select("a", "b", *[shingle_hashes(f"t{k}").alias(f"h{k}") for k in "ab"])
-    both = both.select("a", "b", (F.size("ha") + F.size("hb")).alias("n"), F.size(F.array_intersect("ha", "hb")).alias("i"))
-    return both.where(F.col("i") >= SIMILAR * (F.col("n") - F.col("i")) - 1e-9).select("a", "b")
+    """(cx, cy) of the pairs (x, y, cx, cy) whose shingle sets have a Jaccard similarity of SIMILAR or more; texts has (lid, norm)."""
+    x, y = (texts.select(F.col("lid").alias(k), F.col("norm").alias(f"t{k}")) for k in "xy")
+    both = pairs.join(x, "x").join(y, "y").select("cx", "cy", *[shingle_hashes(f"t{k}").alias(f"h{k}") for k in "xy"])
+    both = both.select("cx", "cy", (F.size("hx") + F.size("hy")).alias("n"), F.size(F.array_intersect("hx", "hy")).alias("i"))
+    return both.where(F.col("i") >= SIMILAR * (F.col("n") - F.col("i")) - 1e-9).select("cx", "cy")
 
 
 def sketches(lines: DataFrame) -> DataFrame:
     """(lid, places, sketch): a bitmap of WORDS * 64 bits of each line's (lid, norm) shingles, hashed in generated code."""
-    rows = lines.select("lid", F.encode("norm", "UTF-32").alias("data"), F.size(_places("norm")).alias("places"), _places("norm").alias("at"))
+    rows = lines.repartition("lid").select("lid", F.encode("norm", "UTF-32").alias("data"), F.size(_places("norm")).alias("places"), _places("norm").alias("at"))
     rows = rows.select("lid", "data", "places", F.explode("at").alias("i")).select("lid", "places", _at(F.col("data"), F.col("i")).alias("h"))
     word, bit = F.pmod(F.shiftrightunsigned("h", 6), F.lit(WORDS)), F.expr("shiftleft(1L, cast(h & 63 as int))")
-    bits = [F.bit_or(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k in range(WORDS)]
+    rows = rows.groupBy("lid", "places", word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+    bits = [F.bit_or(F.when(F.col("word") == k, F.col("bits")).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k in range(WORDS)]
     return rows.groupBy("lid", "places").agg(*bits).select("lid", "places", F.struct(*[f"w{k}" for k in range(WORDS)]).alias("sketch"))
 
 
-def _may_be_near(x: str, y: str) -> Column:
-    """False only of lines whose similarity is under SIMILAR.
+def _may_be_near(x: str, y: str, size: str = "places") -> Column:
+    """False only of lines whose similarity is under SIMILAR; ``size`` is the number of shingles, or a bound of it.
 
     Sets of n shingles together that reach it differ in (1 - SIMILAR) / (1 + SIMILAR) * n of them at most, and each
     bit in which two bitmaps differ is another such shingle.
     """
     bits = sum((F.bit_count(F.col(f"sketch{x}.w{k}").bitwiseXOR(F.col(f"sketch{y}.w{k}"))) for k in range(WORDS)), F.lit(0))
-    return bits <= (1 - SIMILAR) / (1 + SIMILAR) * (F.col(f"places{x}") + F.col(f"places{y}")) + 1e-9
+    return bits <= (1 - SIMILAR) / (1 + SIMILAR) * (F.col(f"{size}{x}") + F.col(f"{size}{y}")) + 1e-9
+
+
+def _once(pairs: DataFrame) -> DataFrame:
+    """The pairs (x, y, cx, cy), each once and x the larger."""
+    turned = F.col("x") < F.col("y")
+    ends = [F.when(turned, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in (("x", "y"), ("y", "x"), ("cx", "cy"), ("cy", "cx"))]
+    return pairs.select(*ends).distinct()
 
 
 def _prefix_pairs(late: DataFrame, texts: DataFrame, drawn: DataFrame | None = None) -> DataFrame:
-    """Pairs (x, y) of lines (lid, c) of different components c, among them every pair whose Jaccard similarity reaches SIMILAR.
+    """Pairs (x, y, cx, cy) of lines (lid, c) of different components c, among them every pair whose Jaccard similarity reaches SIMILAR.
 
     A line's shingles are ordered by how many lines have them, rarest first.  Of n shingles SIMILAR * n at least
     are in a near line too, so two near lines share one of the first n - SIMILAR * n + 1 of each.  The lengths and
     the places of a shared shingle bound what can still be shared, and so do the bitmaps ``drawn`` of the lines.
     """
     drawn = sketches(late.join(texts, "lid").select("lid", "norm")) if drawn is None else drawn
-    rows = late.join(texts.select("lid", "norm"), "lid").select("lid", "c", F.explode(shingle_hashes("norm")).alias("h"))
-    rows = stored(rows, "shingles")
-    # a shingle that one line alone has stays in the order, but finds nothing
-    often = rows.groupBy("h").agg(F.count("*").alias("m"), F.min("c").alias("low"), F.max("c").alias("high"))
-    ordered = F.array_sort(F.collect_list(F.struct("m", "h", (F.col("low") < F.col("high")).alias("mixed"))))
-    sets = rows.join(often, "h").groupBy("lid", "c").agg(ordered.alias("s")).withColumn("n", F.size("s"))
+    rows = late.join(texts.select("lid", "norm"), "lid").repartition("lid").select("lid", "c", F.explode(shingle_hashes("norm")).alias("h"))
+    # a shingle that one line alone has stays in the order, but finds nothing; counted in a window, as no join of all shingles is needed then
+    of = Window.partitionBy("h")
+    rows = rows.select("lid", "c", "h", F.count("*").over(of).alias("m"), (F.min("c").over(of) < F.max("c").over(of)).alias("mixed"))
+    sets = rows.groupBy("lid", "c").agg(F.array_sort(F.collect_list(F.struct("m", "h", "mixed"))).alias("s")).withColumn("n", F.size("s"))
+    sets = sets.join(drawn.drop("places"), "lid")
     first = F.slice("s", F.lit(1), (F.col("n") - F.ceil(SIMILAR * F.col("n") - 1e-9) + 1).cast("int"))
-    posted = sets.select("lid", "c", "n", F.posexplode(first).alias("place", "e")).where("e.mixed")
-    posted = posted.select("lid", "c", "n", "place", "e.h", F.ceil(F.col("e.m") / BLOCK).cast("int").alias("blocks"))
+    posted = sets.select("lid", "c", "n", "sketch", F.posexplode(first).alias("place", "e")).where("e.mixed")
+    posted = posted.select("lid", "c", "n", "sketch", "place", "e.h", F.ceil(F.col("e.m") / BLOCK).cast("int").alias("blocks"))
     posted = posted.withColumn("block", F.pmod(F.xxhash64("lid"), F.col("blocks")).cast("int"))
     posted = posted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    posted = posted.select("h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "lid", "c", "n", "place")
-    posted = stored(posted.join(drawn, "lid"), "posted")
-    x, y = (posted.select("h", "i", "j", *[F.col(k).alias(f"{k}{t}") for k in ("lid", "c", "n", "place", "places", "sketch")]) for t in "xy")
-    both = x.join(y, ["h", "i", "j"]).where("lidx > lidy and cx <> cy")
+    posted = posted.select("h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "lid", "c", "n", "place", "sketch")
+    posted = stored(posted, "posted")
+    x, y = (posted.select("h", "i", "j", *[F.col(k).alias(f"{k}{t}") for k in ("block", "lid", "c", "n", "place", "sketch")]) for t in "xy")
+    # y is the line of fewer shingles, of which still more must be shared
+    y = y.where(F.col("ny") - F.col("placey") >= 2 * SIMILAR / (1 + SIMILAR) * F.col("ny") - 1e-9)
+    both = x.join(y, ["h", "i", "j"]).where("(nx > ny or nx = ny and lidx > lidy) and cx <> cy and (i = j or blockx <> blocky)")
     shared = F.least(F.col("nx") - F.col("placex"), F.col("ny") - F.col("placey"))
-    both = both.where((shared >= SIMILAR / (1 + SIMILAR) * (F.col("nx") + F.col("ny")) - 1e-9) & (F.least("nx", "ny") >= SIMILAR * F.greatest("nx", "ny") - 1e-9) & _may_be_near("x", "y"))
-    return both.select(F.col("lidx").alias("x"), F.col("lidy").alias("y")).distinct()
+    both = both.where((shared >= SIMILAR / (1 + SIMILAR) * (F.col("nx") + F.col("ny")) - 1e-9) & (F.col("ny") >= SIMILAR * F.col("nx") - 1e-9) & _may_be_near("x", "y", "n"))
+    return _once(both.select(F.col("lidx").alias("x"), F.col("lidy").alias("y"), "cx", "cy"))
 
 
 def _components(pairs: DataFrame, texts: DataFrame, roots: DataFrame | None = None) -> DataFrame:
-    """(node, component) of the verified pairs (x, y), joined with the components found before."""
-    links = _verified(pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), texts)
-    if roots is not None:
-        links = roots.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)
-    out = stored(connected_components(links), "roots")
-    if roots is not None:
-        discard(roots)
+    """(node, component) of the verified pairs (x, y, cx, cy), joined with the components found before, of which x is in cx and y in cy.
+
+    Only the components of the pairs are joined anew; a line alone is its own component.
+    """
+    pairs = stored(pairs, "pairs")
+    both = pairs.select(F.explode(F.array("x", "y")).alias("lid")).distinct()
+    links = _verified(pairs, texts.join(_small(both), "lid", "left_semi"))
+    fresh = stored(connected_components(links.select(F.col("cx").alias("a"), F.col("cy").alias("b"))), "roots")
+    discard(pairs)
+    if roots is None:
+        return fresh
+    moved = _small(fresh.select(F.col("node").alias("component"), F.col("component").alias("to")))
+    alone = fresh.join(roots.select("node"), "node", "left_anti")
+    out = roots.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")).unionByName(alone)
+    out = stored(out, "roots")
+    for done in (roots, fresh):
+        discard(done)
     return out
 
 
@@ -189,14 +212,17 @@ def _line_roots(lines: DataFrame) -> DataFrame:
     texts = stored(lines.select("lid", "norm").join(_small(wanted), "lid", "left_semi"), "texts")
 
     release(lines.sparkSession)
-    roots = _components(members.select(F.col("lid").alias("x"), F.col("lo").alias("y")).where("x <> y"), texts)
+    drawn = stored(sketches(texts), "sketches")
+    x, y = (drawn.select(F.col("lid").alias(t), *[F.col(k).alias(f"{k}{t}") for k in ("places", "sketch")]) for t in "xy")
+    firsts = members.select(F.col("lid").alias("x"), F.col("lo").alias("y")).where("x <> y").distinct()
+    firsts = firsts.join(x, "x").join(y, "y").where(_may_be_near("x", "y"))
+    roots = _components(firsts.select("x", "y", F.col("x").alias("cx"), F.col("y").alias("cy")), texts)
     release(lines.sparkSession)
     mixed = _mixed(members, roots)
-    drawn = stored(sketches(texts.join(mixed.select("lid").distinct(), "lid", "left_semi")), "sketches")
-    few = mixed.where(F.col("n") <= SMALL).join(drawn, "lid")
-    x, y = (few.select("band", F.col("lid").alias(t), *[F.col(k).alias(f"{k}{t}") for k in ("c", "places", "sketch")]) for t in "xy")
-    few = x.join(y, "band").where((F.col("x") > F.col("y")) & (F.col("cx") != F.col("cy")) & _may_be_near("x", "y")).select("x", "y")
-    roots = _components(few, texts, roots)
+    x, y = (mixed.join(drawn, "lid").select("band", F.col("lid").alias(t), *[F.col(k).alias(f"{k}{t}") for k in ("n", "c", "places", "sketch")]) for t in "xy")
+    y = y.where((F.col("ny") <= SMALL) | (F.pmod(F.xxhash64(F.lit(2), "y"), F.ceil(F.col("ny") / LEADERS)) == 0))
+    few = x.join(y, "band").where(((F.col("nx") > SMALL) | (F.col("x") > F.col("y"))) & (F.col("x") != F.col("y")) & (F.col("cx") != F.col("cy")) & _may_be_near("x", "y"))
+    roots = _components(_once(few.select("x", "y", "cx", "cy")), texts, roots)
     large = _mixed(mixed.where(F.col("n") > SMALL).select("band", "lid", "n"), roots)
     late = stored(large.select("lid", "c").distinct(), "late")
     if not late.isEmpty():

@@ -208,6 +208,29 @@ def test_large_line_buckets_are_searched_exactly(spark):
     assert {(max(keys[a], keys[b]), min(keys[a], keys[b])) for a, b in near} <= pairs
 
 
+def test_large_near_group_is_joined_before_the_exact_search(spark, monkeypatch):
+    """Lines that are near to some of their bucket only: few of their near pairs are left to the prefix filter, no link is lost."""
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    template = [word() for _ in range(100)]
+    lines = []
+    for k in range(300):
+        own = list(template)
+        for at in rng.sample(range(100), 1 + k % 5):  # two lines are near if at most five words are replaced in both together
+            own[at] = word()
+        lines.append(" ".join(own))
+    sets = [plain_shingles(x) for x in lines]
+    near = [(a, b) for a in range(300) for b in range(a + 1, 300) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    found, search = [], linededup._prefix_pairs
+    monkeypatch.setattr(linededup, "_prefix_pairs", lambda *a: found.append(search(*a).count()) or search(*a))
+    monkeypatch.setattr(linededup, "BLOCK", 50)
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r["id"]: r["component"] for r in linededup.line_components(df).collect()}
+    assert len(near) > 10_000 and all(got[a] == got[b] for a, b in near)
+    assert len(set(got.values())) == len(set(find(near, list(range(300))).values()))
+    assert sum(found) < 1000
+
+
 def test_lines_by_plain_shingles(spark):
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("etaoinshrdlu\u00e9\U0001f600") for _ in range(rng.randint(2, 8)))
