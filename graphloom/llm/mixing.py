@@ -10,11 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.shared import discard, stored
+from graphloom.llm.shared import discard, release, stored
 
 MARGINS = ("source", "lang", "topic")
 #: Rounds of raking, and the exponent that makes targets of the shares that the data have.
 ROUNDS, TEMPER = 8, 0.7
+#: Rounds after which the driver lets go of the ended rounds' plans and broadcasts.
+COLLECTED = 4
 #: What stands for a null in a margin.
 NONE = "(none)"
 
@@ -46,21 +48,27 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
 
     cells has the margins and tokens; targets has (value, share) for each margin.  A value without a target
     gets no tokens; a target without tokens is left out, so that the total is kept by the others.  Sums are
-    partial before each shuffle, and each round's table is stored, so lineage does not grow.
+    partial before each shuffle.  Targets are joined once, and the table is stored after every margin: it is read
+    both for the sums and for what they scale, so a plan of several margins would double with each of them.
     """
+    spark = cells.sparkSession
     total = cells.agg(F.sum("tokens").cast("double")).first()[0] or 0.0
-    now = cells.withColumn("raked", F.col("tokens").cast("double"))
-    before = None
-    for _ in range(rounds):
-        for margin, target in targets.items():
-            sums = now.groupBy(F.col(margin).alias("value")).agg(F.sum("raked").alias("sum")).where("sum > 0")
-            factor = sums.join(target, "value").select(F.col("value").alias("_value"), (F.col("share") * total / F.col("sum")).alias("_factor"))
+    now, shares = cells.withColumn("raked", F.col("tokens").cast("double")), {m: f"_share{k}" for k, m in enumerate(targets)}
+    for margin, share in shares.items():
+        target = targets[margin].select(F.col("value").alias("_value"), F.col("share").alias(share))
+        now = now.join(target, F.col(margin) == F.col("_value"), "left").drop("_value")
+    now = stored(now, "raked")
+    for n in range(rounds):
+        for margin, share in shares.items():
+            before = now
+            sums = now.groupBy(F.col(margin).alias("_value"), F.col(share).alias("_share")).agg(F.sum("raked").alias("_sum")).where("_sum > 0")
+            factor = sums.select("_value", (F.col("_share") * total / F.col("_sum")).alias("_factor"))
             now = now.join(factor, F.col(margin) == F.col("_value"), "left").withColumn("raked", F.col("raked") * F.coalesce("_factor", F.lit(0.0))).drop("_value", "_factor")
-        now = stored(now, "raked")
-        if before is not None:
+            now = stored(now, "raked")
             discard(before)
-        before = now
-    return now
+        if n % COLLECTED == COLLECTED - 1:
+            release(spark)
+    return now.drop(*shares.values())
 
 
 def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", margins: dict[str, Column] | None = None, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, temper: float = TEMPER) -> DataFrame:

@@ -28,6 +28,15 @@ def test_against_sql(spark, name):
     assert sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr) == sorted((tuple(r[i] for i in places) for r in result.fetchall()), key=repr)
 
 
+def test_raking_plans_do_not_double_with_the_margins(spark, monkeypatch):
+    """Each table is read for the sums and for what they scale: plans of several margins would hold the first one's many times over."""
+    joins, store = [], mixing.stored
+    monkeypatch.setattr(mixing, "stored", lambda df, name: joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join ")) or store(df, name))
+    cells = spark.createDataFrame([(a, b, c, 1 + a * b + c) for a in range(3) for b in range(2) for c in range(2)], "source int, lang int, topic int, tokens long")
+    mixing.rake(cells, {m: mixing.tempered_targets(cells, m).localCheckpoint() for m in mixing.MARGINS}, rounds=2)
+    assert joins[0] == 3 and set(joins[1:]) == {1} and len(joins) == 7
+
+
 def test_rakes_to_the_margins(spark):
     rng = np.random.default_rng(0)
     cells = spark.createDataFrame([(f"s{i}", f"l{j}", f"t{k}", int(rng.integers(1, 1000))) for i in range(4) for j in range(3) for k in range(2)], "source string, lang string, topic string, tokens long")
