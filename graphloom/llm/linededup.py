@@ -14,6 +14,8 @@ lines of different components with such a shingle in common are compared, in blo
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,8 +35,8 @@ FEW = 10
 SMALL, BLOCK = 32, 1024
 #: Lines of a large bucket, on average, that all of its lines are compared with before the exact search.
 LEADERS = 16
-#: Longs of a line's bitmap of shingles.
-WORDS = 32
+#: Longs of a line's bitmap of shingles, and of a part of it that is summed in one row.
+WORDS, PART = 32, 4
 #: Rows up to which a table (a few longs a row) is broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -49,10 +51,11 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def normal(line: Column, fold: bool = False) -> Column:
-    """What lines are compared by: no white space around; lower case with ``fold``."""
-    line = F.trim(line, F.lit(" \t\r\f\x0b"))
-    return F.lower(line) if fold else line
+def normal(line: Column) -> Column:
+    """What lines are compared by: no white space around.  Only a line that has some is looked at letter by letter."""
+    blanks = " \t\r\f\x0b"
+    around = reduce(or_, (f(line, F.lit(x)) for x in blanks for f in (F.startswith, F.endswith)))
+    return F.when(around, F.trim(line, F.lit(blanks))).otherwise(line)
 
 
 def _at(data: Column | str, i: Column) -> Column:
@@ -67,7 +70,8 @@ def _places(line: str) -> Column:
 
 def shingle_hashes(line: str) -> Column:
     """The distinct hashes of the shingles at every character of a line, in no order."""
-    return F.array_distinct(_let(F.encode(line, "UTF-32"), lambda data: F.transform(_places(line), lambda i: _at(data, i))))
+    at = F.sequence(F.lit(1), F.greatest(F.char_length(line) - SHINGLE, F.lit(0)) * 4 + 1, F.lit(4))
+    return F.array_distinct(_let(F.encode(line, "UTF-32"), lambda data: F.transform(at, lambda i: F.xxhash64(F.substr(data, i, F.lit(4 * SHINGLE))))))
 
 
 def short_bands(lines: DataFrame) -> DataFrame:
@@ -88,24 +92,31 @@ def short_bands(lines: DataFrame) -> DataFrame:
 def long_bands(lines: DataFrame) -> DataFrame:
     """(lid, band) of the lines (lid, norm) with LONG shingles or more.
 
-    One permutation hashing: hashes are dealt into BANDS * RUN classes by their remainder, the smallest hash of each
-    class is a signature value, and RUN classes are a band; one with a class that has no hash is none.  Every
+    One permutation hashing: hashes are dealt into BANDS * RUN classes by their remainders (BANDS and RUN have no common
+    factor), the smallest hash of each class is a signature value, and RUN classes are a band; one with a class that has
+    no hash is none.  The signature's shingles are of SHINGLE bytes of UTF-8, at every byte: the same as of characters in ASCII
+    text, and in other text a letter that differs changes a smaller part of them.  Every
     shingle is hashed in generated code, and only hashes under a bound leave it.  All steps keep a line's task.
     """
     lines = lines.where(F.char_length("norm") >= LONG + SHINGLE - 1).repartition("lid")
-    most = (F.lit(-(2.0**63)) + F.lit(2.0**64) * F.least(F.lit(1.0), PASSING / (F.char_length("norm") - SHINGLE + 1))).cast("long")
-    rows = lines.select("lid", F.encode("norm", "UTF-32").alias("data"), most.alias("most"), _places("norm").alias("places"))
-    rows = rows.select("lid", "data", "most", F.explode("places").alias("i")).select("lid", "most", _at(F.col("data"), F.col("i")).alias("h"))
-    rows = rows.where("h <= most").groupBy("lid", F.pmod("h", F.lit(BANDS * RUN)).alias("class")).agg(F.min("h").alias("h"))
-    bands = rows.groupBy("lid", F.floor(F.col("class") / RUN).alias("k")).agg(F.bit_xor(F.xxhash64("class", "h")).alias("band"), F.count("*").alias("n"))
-    return bands.where(F.col("n") == RUN).select("lid", "band")
+    n = F.octet_length("norm") - SHINGLE + 1
+    most = (F.lit(-(2.0**63)) + F.lit(2.0**64) * F.least(F.lit(1.0), PASSING / n)).cast("long")
+    rows = lines.select("lid", F.col("norm").cast("binary").alias("data"), most.alias("most"), F.sequence(F.lit(1), n).alias("places"))
+    rows = rows.select("lid", "data", "most", F.explode("places").alias("i")).select("lid", "most", F.xxhash64(F.substr("data", F.col("i"), F.lit(SHINGLE))).alias("h"))
+    rows = rows.where("h <= most").select("lid", "h", F.pmod("h", F.lit(BANDS)).alias("k"), F.pmod("h", F.lit(RUN)).alias("r"))
+    least = [F.min(F.when(F.col("r") == r, F.col("h"))).alias(f"h{r}") for r in range(RUN)]
+    bands = rows.groupBy("lid", "k").agg(*least).dropna()
+    return bands.select("lid", F.xxhash64("k", *[f"h{r}" for r in range(RUN)]).alias("band"))
 
 
 def lines_of(docs: DataFrame, id: str, text: str, fold: bool = False) -> DataFrame:
-    """(id, tkey, pos, norm): every line; tkey tells texts of equal ids apart."""
+    """(id, tkey, pos, norm): every line that is not blank, in lower case with ``fold``; tkey tells texts of equal ids apart."""
     rows = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text")).where("text is not null")
-    rows = rows.select("id", F.xxhash64("text").alias("tkey"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return rows.select("id", "tkey", "pos", normal(F.col("line"), fold).alias("norm"))
+    # the text is hashed before its lines come apart, and their case goes after the blank ones, so that neither is done twice
+    rows = rows.select("id", F.xxhash64("text").alias("tkey"), F.split("text", "\n").alias("parts"))
+    rows = rows.select("id", "tkey", F.posexplode("parts").alias("pos", "line"))
+    rows = rows.select("id", "tkey", "pos", normal(F.col("line")).alias("norm")).where("norm <> ''")
+    return rows.withColumn("norm", F.lower("norm")) if fold else rows
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -120,10 +131,11 @@ def sketches(lines: DataFrame) -> DataFrame:
     """(lid, places, sketch): a bitmap of WORDS * 64 bits of each line's (lid, norm) shingles, hashed in generated code."""
     rows = lines.repartition("lid").select("lid", F.encode("norm", "UTF-32").alias("data"), F.size(_places("norm")).alias("places"), _places("norm").alias("at"))
     rows = rows.select("lid", "data", "places", F.explode("at").alias("i")).select("lid", "places", _at(F.col("data"), F.col("i")).alias("h"))
-    word, bit = F.pmod(F.shiftrightunsigned("h", 6), F.lit(WORDS)), F.expr("shiftleft(1L, cast(h & 63 as int))")
-    rows = rows.groupBy("lid", "places", word.alias("word")).agg(F.bit_or(bit).alias("bits"))
-    bits = [F.bit_or(F.when(F.col("word") == k, F.col("bits")).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k in range(WORDS)]
-    return rows.groupBy("lid", "places").agg(*bits).select("lid", "places", F.struct(*[f"w{k}" for k in range(WORDS)]).alias("sketch"))
+    word, bit = F.pmod(F.shiftrightunsigned("h", 6), F.lit(WORDS)).cast("int"), F.expr("shiftleft(1L, cast(h & 63 as int))")
+    rows = rows.select("lid", "places", F.floor(word / PART).cast("int").alias("part"), (word % PART).alias("r"), bit.alias("bit"))
+    rows = rows.groupBy("lid", "part").agg(F.max("places").alias("places"), *[F.bit_or(F.when(F.col("r") == r, F.col("bit"))).alias(f"b{r}") for r in range(PART)])
+    bits = [F.coalesce(F.max(F.when(F.col("part") == k // PART, F.col(f"b{k % PART}"))), F.lit(0).cast("long")).alias(f"w{k}") for k in range(WORDS)]
+    return rows.groupBy("lid").agg(F.max("places").alias("places"), *bits).select("lid", "places", F.struct(*[f"w{k}" for k in range(WORDS)]).alias("sketch"))
 
 
 def _may_be_near(x: str, y: str, size: str = "places") -> Column:
@@ -241,17 +253,21 @@ def line_components(docs: DataFrame, id: str = "doc_id", text: str = "text", fol
     case.  ``kept`` marks the first line of a component by id (null first), text hash and place.  Null and empty
     texts have no lines; rows that repeat both id and text share their lines' fate.  A line's key is its 128-bit hash.
     """
-    occurrences = lines_of(docs, id, text, fold).where("norm <> ''")
+    occurrences = lines_of(docs, id, text, fold)
     marks = stored(occurrences.withColumns({"k1": F.xxhash64("norm"), "k2": F.xxhash64(F.lit(1), "norm")}), "marks")
     place = F.struct("id", "tkey", "pos")
     lines = marks.groupBy("k1", "k2").agg(F.first("norm").alias("norm"), F.min(place).alias("first"))
     lines = stored(lines.withColumn("lid", F.monotonically_increasing_id()), "lines")
     release(docs.sparkSession)
     roots = _line_roots(lines.select("lid", "norm"))
-    firsts = lines.select("k1", "k2", "lid", "first").join(roots, F.col("lid") == F.col("node"), "left").select("k1", "k2", "first", F.coalesce("component", "lid").alias("component"))
-    keep = firsts.groupBy("component").agg(F.min("first").alias("keep"))
-    fate = stored(firsts.join(keep, "component").select("k1", "k2", "component", "keep"), "fate")
-    for done in (lines, roots):
+    # only lines that are near another one have to look for their component's first line
+    firsts = lines.select("k1", "k2", "lid", "first").join(_small(roots), F.col("lid") == F.col("node"), "left")
+    keep = firsts.where("node is not null").groupBy("component").agg(F.min("first").alias("keep"))
+    keep = stored(keep.select(F.col("component").alias("root"), "keep"), "keep")
+    firsts = firsts.select("k1", "k2", "first", F.coalesce("component", "lid").alias("component"))
+    fate = firsts.join(_small(keep), F.col("component") == F.col("root"), "left")
+    fate = stored(fate.select("k1", "k2", "component", F.coalesce("keep", "first").alias("keep")), "fate")
+    for done in (lines, roots, keep):
         discard(done)
     release(docs.sparkSession)
     out = marks.select("id", "tkey", "pos", "k1", "k2").join(fate, ["k1", "k2"])

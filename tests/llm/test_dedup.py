@@ -256,6 +256,32 @@ def test_lines_by_plain_shingles(spark):
     assert all(len(r["h"]) == len(plain_shingles(r["line"])) and (r["line"] != lines[0] or set(r["h"]) == set(r["w"])) for r in hashes)
 
 
+def test_line_plans_do_each_step_once(spark):
+    """A text is hashed before its lines come apart, a line's case goes once, a long line's signature is summed in one step."""
+    docs = spark.createDataFrame([(1, "One Line\n \t\n\tand ANOTHER  \n"), (2, None), (3, "")], "doc_id long, text string")
+    lines = linededup.lines_of(docs, "doc_id", "text", fold=True)
+    assert {(r["id"], r["pos"], r["norm"]) for r in lines.collect()} == {(1, 0, "one line"), (1, 2, "and another")}
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1 and plan.index("xxhash64(") > plan.index("Generate")
+    bands = linededup.long_bands(lines.select(F.col("pos").alias("lid"), "norm"))
+    assert bands._jdf.queryExecution().optimizedPlan().toString().count("Aggregate ") == 1
+
+
+def test_long_lines_of_any_script_share_bands(spark):
+    rng = random.Random(41)
+    lines = []
+    for k in range(200):  # Cyrillic, Chinese, Latin with accents and signs, in pairs of a similarity of 0.8 or more
+        letters = ("\u0430\u0431\u0432\u0433\u0434\u0435\u0436\u0437\u0438 ", "".join(map(chr, range(0x4E00, 0x4E80))), "etaoin\u00e9\u00fc\U0001f600 ")[k % 3]
+        a = [rng.choice(letters) for _ in range(rng.randint(90, 160))]
+        lines += ["".join(a), "".join([*a[:40], "x", *a[41:]])]
+    df = spark.createDataFrame(list(enumerate(lines)), "lid long, norm string")
+    near = [i for i in range(0, 400, 2) if len(plain_shingles(lines[i]) & plain_shingles(lines[i + 1])) >= 0.8 * len(plain_shingles(lines[i]) | plain_shingles(lines[i + 1]))]
+    bands = {}
+    for r in linededup.long_bands(df).collect():
+        bands.setdefault(r["lid"], set()).add(r["band"])
+    assert len(near) >= 150 and sum(bool(bands[i] & bands[i + 1]) for i in near) >= 0.95 * len(near)
+
+
 def test_line_recall_against_all_shingles(spark):
     """Pairs at 0.8 to 0.9, by kind: short lines with a letter more, lines of middling and of great length with a few edits."""
     rng = random.Random(21)
