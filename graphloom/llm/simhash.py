@@ -5,6 +5,9 @@ every pair of blocks the bits are reordered with those two in front; equal front
 no error spent.  Below that node the sub-trie is joined with itself: node pairs go down together, a pair of
 unlike children costs one bit, and a pair beyond the budget is cut off.  Buckets hold distinct fingerprints, so
 a group of copies, however large, is one entry of a bucket.
+
+A wide budget cuts off next to nothing below a node, and nodes grow with the input.  Where links are verified by their
+texts' shingle sets, only fingerprints whose sets are of about one size are compared in a node, in blocks.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ SEED = 42
 BITS = 64
 #: Shingles hashed at a time, and node pairs held at a time.
 BLOCK, FRONTIER = 1 << 16, 1 << 20
+#: Keys that size_join() compares at a time, with how many, and the links after which it renews its components.
+ROWS, COLUMNS, RENEWED = 64, 4096, 1 << 16
 _TABLE = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
@@ -33,38 +38,51 @@ def fingerprint(text: str | None, words: int = 4) -> int:
     A-Z are lowered, words end at ASCII white space, shingles count as often as they occur and a text of fewer
     words is one shingle.
     """
+    return fingerprint_and_size(text, words, False)[0]
+
+
+def fingerprint_and_size(text: str | None, words: int = 4, sized: bool = True) -> tuple[int, int]:
+    """fingerprint() and, with ``sized``, the number of different shingles (of their hashes): 1 if the text has no word."""
     parts = (text or "").encode().lower().split()
     if not parts:
-        return 0
+        return 0, 1
     joined = b" ".join(parts)
     lengths = np.fromiter(map(len, parts), np.int64, len(parts))
     starts = np.concatenate(([0], np.cumsum(lengths + 1)[:-1]))
     width = min(words, len(parts))
     first, last = starts[: len(parts) - width + 1], (starts + lengths)[width - 1 :]
-    count, digest = np.zeros(BITS, np.int64), xxhash.xxh64_intdigest
+    count, digest, hashes = np.zeros(BITS, np.int64), xxhash.xxh64_intdigest, []
     for at in range(0, len(first), BLOCK):
         pairs = zip(first[at : at + BLOCK].tolist(), last[at : at + BLOCK].tolist(), strict=True)
         h = np.fromiter((digest(joined[a:b], SEED) for a, b in pairs), "<u8", min(BLOCK, len(first) - at))
+        if sized:
+            hashes.append(h)
         if len(h) < 256:
             count += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         else:
             octets = h.view(np.uint8).reshape(-1, 8)
             for k in range(8):
                 count[8 * k : 8 * k + 8] += np.bincount(octets[:, k], minlength=256) @ _TABLE
-    return sum(1 << i for i in np.flatnonzero(2 * count > len(first)).tolist())
+    size = 1 + int(np.count_nonzero(np.diff(np.sort(np.concatenate(hashes))))) if sized else 1
+    return sum(1 << i for i in np.flatnonzero(2 * count > len(first)).tolist()), size
+
 
+def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "fp", words: int = 4, size: str | None = None) -> DataFrame:
+    """Adds the fingerprint of ``text`` as a long (its 64 bits); null and empty texts have 0.
 
-def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "fp", words: int = 4) -> DataFrame:
-    """Adds the fingerprint of ``text`` as a long (its 64 bits); null and empty texts have 0."""
-    rest = [c for c in docs.columns if c not in (text, name)]
+    ``size`` names a further long column: how many different shingles the text has.
+    """
+    new = [name, *[size] * bool(size)]
+    rest = [c for c in docs.columns if c not in (text, *new)]
     source = docs.select(*rest, F.col(text).cast("string").alias(name))
-    schema = docs.select(*rest, F.lit(0).cast("long").alias(name)).schema
+    schema = docs.select(*rest, *[F.lit(0).cast("long").alias(c) for c in new]).schema
 
     def run(batches):
         for b in batches:
-            values = [fingerprint(x.as_py(), words) for x in b.column(len(rest))]
-            fps = pa.array(np.array(values, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], fps], names=[*rest, name])
+            values = [fingerprint_and_size(x.as_py(), words, bool(size)) for x in b.column(len(rest))]
+            fps = pa.array(np.array([x for x, _ in values], np.uint64).view(np.int64))
+            sizes = [pa.array([n for _, n in values], pa.int64())] * bool(size)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], fps, *sizes], names=[*rest, *new])
 
     return source.mapInArrow(run, schema)
 
@@ -169,20 +187,60 @@ def trie_join(keys: np.ndarray, groups: np.ndarray, level: int, budget: int, for
             yield _stars(a, b) if forest else (a, b)
 
 
-def trie_links(fps: DataFrame, budget: int = 4, fp: str = "fp", forest: bool = True, known: str | None = None, leaf: int = 16) -> DataFrame:
+def size_join(keys: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, budget: int, similar: float, forest: bool = True, known: np.ndarray | None = None):
+    """Yields index arrays (i, j) of linked pairs among the ``keys`` (uint64) of each node, of whose sizes the smaller is ``similar`` times the larger at least.
+
+    Rows come in order of their nodes, and of their sizes within a node, so a key's partners are a range.  A key may
+    come with several sizes, and is not linked with itself.  With ``forest`` the pairs are a spanning forest of the
+    links, else all links; ``known`` gives each key a component: pairs within one are left out.
+    """
+    node = np.cumsum(np.concatenate(([0], nodes[1:] != nodes[:-1])))
+    most = np.minimum((sizes + 1e-6) / max(similar, 1e-9), 2**31 - 1).astype(np.int64)
+    ends = np.searchsorted(node << 32 | sizes, node << 32 | most, "right")
+    own = np.arange(len(keys))  # a row's component in the forest
+    found_a, found_b, held = [], [], 0
+    for at in range(0, len(keys), ROWS):
+        to = min(at + ROWS, len(keys))
+        last = int(ends[at:to].max())
+        for low in range(at, last, COLUMNS):
+            high = min(low + COLUMNS, last)
+            near = np.bitwise_count(keys[at:to, None] ^ keys[low:high]) <= budget
+            if np.count_nonzero(near) == (to - at) * (low == at):  # none but the rows themselves
+                continue
+            for label in [own] * forest + [known] * (known is not None):
+                near &= label[at:to, None] != label[low:high]
+            i, j = near.nonzero()
+            i, j = i + at, j + low
+            keep = (i < j) & (j < ends[i]) & (keys[i] != keys[j])
+            if not forest:
+                yield i[keep], j[keep]
+                continue
+            found_a.append(i[keep])
+            found_b.append(j[keep])
+            held += len(found_a[-1])
+            if held > RENEWED:
+                a, b = _stars(np.concatenate(found_a), np.concatenate(found_b))
+                own[a] = b
+                found_a, found_b, held = [a], [b], 0
+    if any(len(x) for x in found_a):
+        yield _stars(np.concatenate(found_a), np.concatenate(found_b))
+
+
+def trie_links(fps: DataFrame, budget: int = 4, fp: str = "fp", forest: bool = True, known: str | None = None, size: str | None = None, similar: float = 0.0) -> DataFrame:
     """(a, b): links of the distinct fingerprints in the long column ``fp``; nulls take no part.
 
-    ``known`` names a long column of components: links within one are left out.
+    ``known`` names a long column of components: links within one are left out.  ``size`` names a long column: only
+    fingerprints of whose sizes the smaller is ``similar`` times the larger at least are linked.
 
     With ``forest`` (for components) each bucket gives a spanning forest of its links: as many rows as it has
     fingerprints at most, and the same components.  Without it every linked pair comes, at least once.
     """
     blocks = _blocks(budget + 2)
-    one = fps.select(F.col(fp).alias("fp"), (F.col(known) if known else F.lit(0).cast("long")).alias("known")).where("fp is not null").distinct()
+    labelled = ["known"] * bool(known) + ["size"] * bool(size)
+    one = fps.select(F.col(fp).alias("fp"), *[F.col(c).alias(n) for c, n in ((known, "known"), (size, "size")) if c]).where("fp is not null").distinct()
     fronts = list(combinations(blocks, 2))
     widths = [sum(n for _, n in front) for front in fronts]
     orders = [[*front, *(b for b in blocks if b not in front)] for front in fronts]
-    labelled = ["known"] if known else []
 
     def posted(batches):
         for b in batches:
@@ -193,9 +251,9 @@ def trie_links(fps: DataFrame, budget: int = 4, fp: str = "fp", forest: bool = T
                 columns = [pa.array(np.full(len(key), t, np.int32)), pa.array(node), pa.array(key.view(np.int64)), *b.columns[1:]]
                 yield pa.RecordBatch.from_arrays(columns, names=["t", "node", "key", *labelled])
 
-    rows = one.select("fp", *labelled).mapInArrow(posted, "t int, node long, key long" + ", known long" * bool(known))
+    rows = one.mapInArrow(posted, "t int, node long, key long" + "".join(f", {c} long" for c in labelled))
     # keys are unsigned; those of a node agree in the front, so their order as longs is right within a node
-    rows = rows.repartition("t", "node").sortWithinPartitions("t", "node", "key")
+    rows = rows.repartition("t", "node").sortWithinPartitions("t", "node", "size" if size else "key")
 
     def back(keys: np.ndarray, t: int) -> np.ndarray:
         """The fingerprints of reordered keys."""
@@ -209,10 +267,14 @@ def trie_links(fps: DataFrame, budget: int = 4, fp: str = "fp", forest: bool = T
         keys = keys.view(np.uint64)
         for t in np.unique(table):
             mine = table == t
-            k, nodes = keys[mine], node[mine]
-            # nodes come as unsigned numbers in order, and keys in order within a node
-            groups = np.concatenate((np.flatnonzero(np.diff(nodes, prepend=nodes[0] - 1)), [len(nodes)]))
-            for i, j in trie_join(k, groups, BITS - widths[t] - 1, budget, forest, *[x[mine] for x in labels], leaf=leaf):
+            k, nodes, of = keys[mine], node[mine], {c: x[mine] for c, x in zip(labelled, labels, strict=True)}
+            if size:
+                links = size_join(k, nodes, of["size"], budget, similar, forest, of.get("known"))
+            else:
+                # nodes come as unsigned numbers in order, and keys in order within a node
+                groups = np.concatenate((np.flatnonzero(np.diff(nodes, prepend=nodes[0] - 1)), [len(nodes)]))
+                links = trie_join(k, groups, BITS - widths[t] - 1, budget, forest, of.get("known"))
+            for i, j in links:
                 a, b = back(k[i], t), back(k[j], t)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
@@ -285,15 +347,16 @@ def _similar_pairs(pairs: DataFrame, bodies: DataFrame, words: int, similar: flo
 
 
 def _text_roots(texts: DataFrame, docs: DataFrame, budget: int, words: int, similar: float | None) -> DataFrame:
-    """(node, component) of the distinct texts (tid, fp, _t, _u) that links join; docs has (_t, _u, text).
+    """(node, component) of the distinct texts (tid, fp, size, _t, _u) that links join; docs has (_t, _u, text).
 
+    Sets of a similarity of ``similar`` have sizes of that ratio at least, so the join leaves out other pairs.
     First the links of a spanning forest are verified, then all links between texts that these did not join.
     """
     reps = texts.groupBy("fp").agg(F.min("tid").alias("rep"))
     named = lambda links: links.join(reps.select(F.col("fp").alias("a"), F.col("rep").alias("x")), "a").join(reps.select(F.col("fp").alias("b"), F.col("rep").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     equal = texts.join(reps, "fp").where("tid <> rep").select(F.col("tid").alias("a"), F.col("rep").alias("b"))
-    leaf = 16 if similar is None else 4096
-    pairs = stored(named(trie_links(reps, budget, leaf=leaf)).unionByName(equal), "pairs")
+    bound = {} if similar is None else {"size": "size", "similar": similar}
+    pairs = stored(named(trie_links(texts, budget, **bound)).unionByName(equal), "pairs")
     if similar is None:
         return stored(connected_components(pairs), "roots")
 
@@ -304,12 +367,12 @@ def _text_roots(texts: DataFrame, docs: DataFrame, budget: int, words: int, simi
 
     some = bodies(pairs)
     roots = stored(connected_components(_similar_pairs(pairs, some, words, similar)), "roots")
-    own = texts.join(roots, F.col("tid") == F.col("node"), "left").select("tid", "fp", F.coalesce("component", "tid").alias("c"))
+    own = texts.join(roots, F.col("tid") == F.col("node"), "left").select("tid", "fp", "size", F.coalesce("component", "tid").alias("c"))
     own = stored(own, "own")
     # a fingerprint of texts of several components has none of its own
-    labels = own.groupBy("fp").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("tid").alias("tid"))
-    labels = labels.select("fp", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(-1 - F.col("tid")).alias("known"))
-    links = trie_links(labels, budget, forest=False, known="known", leaf=leaf)
+    labels = own.groupBy("fp").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("tid").alias("tid"), F.collect_set("size").alias("sizes"))
+    labels = labels.select("fp", F.explode("sizes").alias("size"), F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(-1 - F.col("tid")).alias("known"))
+    links = trie_links(labels, budget, forest=False, known="known", **bound)
     split = labels.where("known < 0").select(F.col("fp").alias("a"), F.col("fp").alias("b"))
     x, y = (own.select(F.col("fp").alias(k), F.col("tid").alias(f"t{k}"), F.col("c").alias(f"c{k}")) for k in "ab")
     late = links.unionByName(split).distinct().join(x, "a").join(y, "b").where("ca <> cb").select(F.col("ta").alias("a"), F.col("tb").alias("b"))
@@ -332,9 +395,9 @@ def near_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", words: i
     """
     body = F.col(text).cast("string")
     key = docs.select(F.col(id).alias("_id"), F.xxhash64(body).alias("_t"), F.xxhash64(F.lit(1), body).alias("_u"), body.alias("text"))
-    prints = stored(with_fingerprint(key, words=words), "prints")
+    prints = stored(with_fingerprint(key, words=words, size=None if similar is None else "size"), "prints")
     order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_t").alias("t"), F.col("_u").alias("u"))
-    texts = prints.groupBy("_t", "_u").agg(F.min("fp").alias("fp"), F.min(order).alias("low"))
+    texts = prints.groupBy("_t", "_u").agg(*[F.min(c).alias(c) for c in prints.columns if c in ("fp", "size")], F.min(order).alias("low"))
     texts = stored(texts.withColumn("tid", F.monotonically_increasing_id()), "texts")
     roots = _text_roots(texts, key, budget, words, similar)
     own = texts.join(roots, F.col("tid") == F.col("node"), "left").select("_t", "_u", "low", F.coalesce("component", "tid").alias("root"))

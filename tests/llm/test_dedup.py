@@ -72,6 +72,38 @@ def test_trie_finds_all_links(spark):
     assert {tuple(sorted(p)) for p in forest} <= {(a, b) for a in fps for b in fps if a < b}
 
 
+def test_links_of_about_one_size(spark):
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**63, 40, dtype=np.uint64) * np.uint64(2)
+    fps = sorted({int(b) ^ sum(1 << int(k) for k in rng.choice(64, int(rng.integers(0, 9)), replace=False)) for b in base for _ in range(8)})
+    sizes = {x: {int(n) for n in rng.choice([1, 64, 79, 80, 99, 100, 125, 126], 1 + (k % 5 == 0))} for k, x in enumerate(fps)}
+    part = {x: x % 3 for x in fps}
+    rows = [(int(np.uint64(x).view(np.int64)), n, part[x]) for x in fps for n in sizes[x]]
+    df = spark.createDataFrame([*rows, (None, 1, 0)], "fp long, size long, part long")
+    brute = {(a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if (a ^ b).bit_count() <= 10 and any(min(n, m) >= 0.8 * max(n, m) for n in sizes[a] for m in sizes[b])}
+    links = lambda **more: {tuple(sorted(x % 2**64 for x in r)) for r in simhash.trie_links(df, 10, size="size", similar=0.8, **more).collect()}
+    assert links(forest=False) == brute and len(brute) > 50
+    assert links(forest=False, known="part") == {(a, b) for a, b in brute if part[a] != part[b]}
+    assert find(links(), fps) == find(brute, fps)
+
+
+def test_a_node_compares_keys_of_about_one_size(monkeypatch):
+    rng, n, seen, count = np.random.default_rng(3), 4000, [], np.bitwise_count
+    monkeypatch.setattr(np, "bitwise_count", lambda x: (seen.append(x.size), count(x))[1])
+    keys, node = rng.integers(0, 2**63, n, dtype=np.uint64), np.zeros(n, np.int64)
+    sizes = np.sort(np.exp(rng.uniform(0, 10, n)).astype(np.int64))
+    list(simhash.size_join(keys, node, sizes, 10, 0.8))
+    assert 0 < sum(seen) < n * n / 2 / 8  # all pairs are n * n / 2
+    # a large family of near keys is joined by a spanning forest, and each pair of another node is left out
+    family = np.unique(keys[0] ^ np.array([1 << a | 1 << b for a in range(64) for b in range(64)], np.uint64))
+    keys, node = np.concatenate((family, family)), np.repeat([0, 1], len(family))
+    pairs = [np.concatenate(x) for x in zip(*simhash.size_join(keys, node, np.full(len(keys), 9), 10, 0.8), strict=True)]
+    assert len(pairs[0]) == len(keys) - 2 and (node[pairs[0]] == node[pairs[1]]).all()
+    assert len(set(find(zip(*(x.tolist() for x in pairs), strict=True), range(len(keys))).values())) == 2
+    for text in ("", None, "One", "a b c d e", "a b c d e f", "a b a b a b a b a b", sentence(400) * 2):
+        assert simhash.fingerprint_and_size(text, 5)[1] == len(simhash.shingle_set(text, 5))
+
+
 def test_simhash_components(docs):
     rows = docs.select("doc_id", "text").collect()
     prints = simhash.with_fingerprint(docs.select("doc_id", "text"))
